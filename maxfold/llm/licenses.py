@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 SHINGLE, CONTAINMENT = 5, 0.8
 #: One row a band. A verified window has Jaccard at least J0 with its template (see Template.jaccard), so a band misses
 #: with 1 - J0 at most and all of them with (1 - J0) ** BANDS: under 1e-7 at the worst template of the list below.
@@ -111,7 +113,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     n = F.size("_w") - (SHINGLE - 1)
     shingles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("_w", i + 1, SHINGLE), " "))
     base = words.select("doc_id", F.size("_w").alias("n_words"), at.alias("_at"), shingles.alias("_s")).where(F.size("_at") > 0)
-    base = base.withColumn("_h", F.transform("_s", lambda s: F.xxhash64(s)))
+    base = materialize(base.withColumn("_h", F.transform("_s", lambda s: F.xxhash64(s))), "license-shingles")
     found = None
     for window, stride in sorted({(t.window, t.stride) for t in compiled}):
         mine = [t for t in compiled if (t.window, t.stride) == (window, stride)]
