@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, licenses, mixing, quality, tokens, toxicity
+from . import ann, chat, decontaminate, licenses, mixing, neardup, quality, tokens, toxicity
 from ._common import table
 
 
@@ -39,12 +39,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op4_decontamination, op5_mixing, op6_token_counts, op7_licenses, op8_toxicity, op10_chat)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op4_decontamination, op5_mixing, op6_token_counts, op7_licenses, op8_toxicity, op9_near_duplicates, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
