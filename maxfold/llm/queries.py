@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, mixing, neardup, quality, tokens, toxicity
+from . import ann, chat, decontaminate, exactdup, licenses, mixing, neardup, quality, tokens, toxicity
 from ._common import table
 
 
@@ -18,6 +19,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdup.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +54,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op4_decontamination, op5_mixing, op6_token_counts, op7_licenses, op8_toxicity, op9_near_duplicates, op10_chat)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op3_suffix_dedup, op4_decontamination, op5_mixing, op6_token_counts, op7_licenses, op8_toxicity, op9_near_duplicates, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
