@@ -27,6 +27,8 @@ LENGTH, BLOCK = 100, 32
 CHOICE = LENGTH - BLOCK + 1
 #: Bytes of text in a chunk row (a longer document is a chunk of its own), and bytes looked at in one step.
 CHUNK, STEP = 1 << 20, 1 << 21
+#: Bytes of contexts that are sorted at once; a bucket with more is sorted in parts, each with whole names.
+SORT = 1 << 20
 #: A name in this many chunks is hot: its windows travel alone, dealt by their own content.
 HOT = 256
 NULL_ID = -(1 << 63)
@@ -222,7 +224,7 @@ def _count_names(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": df["chunk"], "nb": df["nb"], "codes": [code[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
 
 
-RECORDS = pa.schema([("nb", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("at", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("blob", pa.binary())])
+RECORDS = pa.schema([("nb", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("at", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("sub", pa.binary()), ("blob", pa.binary())])
 
 
 def _contexts(buckets: int):
@@ -237,12 +239,14 @@ def _contexts(buckets: int):
             if not len(first) or row["reply"].as_py() is None:
                 continue
             _, at, bucket, _ = c.named(names, buckets)
+            sub = (names >> np.uint64(48)).astype(np.uint16)
             codes = np.frombuffer(b"".join(x["codes"] for x in sorted(row["reply"].as_py(), key=lambda x: x["nb"])), np.uint8)[at]
             nb = bucket[at]
             one = codes == 1
             hot = codes == 2
             hot_first = np.repeat(first[hot], size[hot]) + np.arange(size[hot].sum()) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot])
             first, size, nb = np.concatenate([first[one], hot_first]), np.concatenate([size[one], np.ones(len(hot_first), np.int64)]), np.concatenate([nb[one], np.full(len(hot_first), -1)])
+            sub = np.concatenate([sub[one], np.zeros(len(hot_first), np.uint16)])
             doc = np.searchsorted(c.ends, first, side="right")
             order = np.lexsort((first, c.ids[doc]))
             blob, seen = c.bytes.tobytes(), {}
@@ -256,7 +260,8 @@ def _contexts(buckets: int):
                     continue
                 b = int(nb[i])
                 if b < 0:
-                    b = int.from_bytes(hashlib.blake2b(ctx, digest_size=6).digest(), "little") % buckets
+                    digest = hashlib.blake2b(ctx, digest_size=8).digest()
+                    b, sub[i] = int.from_bytes(digest[:6], "little") % buckets, int.from_bytes(digest[6:], "little")
                 seen[ctx] = i
                 put.setdefault(b, []).append(i)
             own = row["chunk"].as_py()
@@ -265,7 +270,7 @@ def _contexts(buckets: int):
                 r = np.array(rows, np.int64)
                 d = doc[r]
                 text = b"" if kind else b"".join(blob[first[i] : first[i] + size[i] + LENGTH - 1] for i in rows)
-                return (b, own, kind, c.ids[d].tobytes(), d.astype(np.int32).tobytes(), (first[r] - c.starts[d]).tobytes(), size[r].astype(np.int32).tobytes(), text)
+                return (b, own, kind, c.ids[d].tobytes(), d.astype(np.int32).tobytes(), (first[r] - c.starts[d]).tobytes(), size[r].astype(np.int32).tobytes(), sub[r].tobytes(), text)
 
             out = [record(b, 0, rows) for b, rows in put.items()]
             if again:
@@ -290,25 +295,32 @@ def _compare(df: pd.DataFrame) -> pd.DataFrame:
     part = df[df["kind"] == 0]
     if len(part):
         doc, at, start, n = get("doc", np.int64, part), get("at", np.int32, part), get("start", np.int64, part), get("n", np.int32, part).astype(np.int64)
+        sub = get("sub", np.uint16, part)
         chunk = np.repeat(part["chunk"].to_numpy(), [len(x) // 8 for x in part["doc"]])
         blob = b"".join(part["blob"])
+        del df, part
         ends = np.cumsum(n + LENGTH - 1)
-        order = np.lexsort((start, doc))
-        seen: dict[bytes, int] = {}
-        first, again = [], []
-        for i in order.tolist():
-            ctx = blob[ends[i] - n[i] - LENGTH + 1 : ends[i]]
-            if ctx in seen:
-                again.append(i)
-            else:
-                seen[ctx] = i
-                first.append(i)
-        again, first = np.array(again, np.int64), np.array(first, np.int64)
-        _, rank = np.unique(doc[first], return_inverse=True)
-        flags = repeated_windows(list(seen), n[first], (rank.astype(np.int64) << 40) | start[first])
-        of, a, b = _intervals(start[first], flags, n[first])
-        hit_chunk, hit_at = np.concatenate([chunk[first[of]], chunk[again]]), np.concatenate([at[first[of]], at[again]])
-        hit_a, hit_b = np.concatenate([a, start[again]]), np.concatenate([b, start[again] + n[again]])
+        parts = max(1, -(-len(blob) // SORT))
+        order = np.lexsort((start, doc, sub % parts))
+        cuts = np.searchsorted((sub % parts)[order], np.arange(parts + 1))
+        found: list[tuple] = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            seen: dict[bytes, int] = {}
+            again = []
+            for i in order[x:y].tolist():
+                ctx = blob[ends[i] - n[i] - LENGTH + 1 : ends[i]]
+                if ctx in seen:
+                    again.append(i)
+                else:
+                    seen[ctx] = i
+            if not seen:
+                continue
+            again, first = np.array(again, np.int64), np.fromiter(seen.values(), np.int64)
+            _, rank = np.unique(doc[first], return_inverse=True)
+            flags = repeated_windows(list(seen), n[first], (rank.astype(np.int64) << 40) | start[first])
+            of, a, b = _intervals(start[first], flags, n[first])
+            found.append((np.concatenate([chunk[first[of]], chunk[again]]), np.concatenate([at[first[of]], at[again]]), np.concatenate([a, start[again]]), np.concatenate([b, start[again] + n[again]])))
+        hit_chunk, hit_at, hit_a, hit_b = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.argsort(hit_chunk, kind="stable")
         hit_chunk, hit_at, hit_a, hit_b = hit_chunk[by], hit_at[by], hit_a[by], hit_b[by]
         cut = np.flatnonzero(np.diff(hit_chunk, prepend=-1))
@@ -390,7 +402,7 @@ def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     codes = names.groupBy("nb").applyInPandas(_count_names, "chunk long, nb int, codes binary")
     reply = materialize(codes.groupBy("chunk").agg(F.collect_list(F.struct("nb", "codes")).alias("reply")), "dup-reply")
     asked = chunks.join(active.join(reply, "chunk"), "chunk").select("chunk", "ids", "lens", "blob", "active", "reply")
-    records = asked.mapInArrow(_contexts(buckets), "nb int, chunk long, kind int, doc binary, at binary, start binary, n binary, blob binary")
+    records = asked.mapInArrow(_contexts(buckets), "nb int, chunk long, kind int, doc binary, at binary, start binary, n binary, sub binary, blob binary")
     told = records.groupBy("nb").applyInPandas(_compare, "chunk long, at binary, a binary, b binary")
     told = materialize(told.groupBy("chunk").agg(F.collect_list(F.struct("at", "a", "b")).alias("told")), "dup-told")
     final = chunks.join(active.join(told, "chunk", "left"), "chunk").select("chunk", "ids", "lens", "blob", "active", "told")
