@@ -1,10 +1,11 @@
 """Repeated passages by a distributed difference-cover suffix sort: every byte of a 100-byte string that starts earlier.
 
 How the work is spread: each 100-byte window has a locally chosen sample, the leftmost 32-byte block in it with the least
-hash. Equal windows have equal samples, so windows can only repeat where the sample's name does. Names are exchanged
-first; then the contexts of repeated ones go to the bucket of the name, where a difference-cover suffix sort of the
-contexts orders their windows and adjacent ones are compared. Nothing is decided by a hash: names only bring text
-together, and what meets is compared byte by byte (whole documents by SHA-256).
+hash. Equal windows have equal samples, so windows can only repeat where the sample's name does. Three exchanges follow:
+names are counted; 128-bit digests of the contexts of repeated names find contexts that occur whole somewhere earlier;
+the contexts that are left, each once, go to the bucket of their name, where a difference-cover suffix sort orders
+their windows and adjacent ones are compared byte by byte. Texts themselves stay in a bucketed table, and are not
+shuffled. Whole documents are compared by SHA-256.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ CHOICE = LENGTH - BLOCK + 1
 CHUNK, STEP = 1 << 20, 1 << 21
 #: Bytes of contexts that are sorted at once; a bucket with more is sorted in parts, each with whole names.
 SORT = 1 << 20
-#: A name in this many chunks is hot: its windows travel alone, dealt by their own content.
-HOT = 256
+#: A name that occurs so often is hot: its windows travel alone, dealt by their own content.
+HOT = 1 << 15
 NULL_ID = -(1 << 63)
 
 
@@ -142,7 +143,7 @@ class _Chunk:
 
     def named(self, names: np.ndarray, buckets: int):
         """(distinct names in the order of bucket and name, where each is in them, the bucket of each distinct one)."""
-        distinct, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+        distinct, inverse, counts = np.unique(names & ~np.uint64(31), return_inverse=True, return_counts=True)
         bucket = ((distinct >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
@@ -206,7 +207,7 @@ def _names(buckets: int):
             _, _, names = c.samples()
             distinct, _, bucket, counts = c.named(names, buckets)
             if len(distinct):
-                value = (distinct & ~np.uint64(1)) | (counts > 1).astype(np.uint64)  # the last bit: repeated within the chunk
+                value = (distinct & ~np.uint64(31)) | np.ceil(np.log2(counts)).astype(np.uint64)  # the last bits: how often in the chunk
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 yield _batch(schema, [(int(bucket[a]), row["chunk"].as_py(), value[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)])
 
@@ -217,9 +218,9 @@ def _count_names(df: pd.DataFrame) -> pd.DataFrame:
     """Which names repeat (1) or are hot (2), in the order in which they came."""
     sizes = df["names"].map(len).to_numpy() // 8
     v = np.frombuffer(b"".join(df["names"]), np.uint64)
-    _, inverse, counts = np.unique(v & ~np.uint64(1), return_inverse=True, return_counts=True)
-    twice = np.bincount(inverse, (v & np.uint64(1)).astype(float), len(counts)) > 0
-    code = np.where(counts >= HOT, 2, ((counts > 1) | twice).astype(int)).astype(np.uint8)[inverse]
+    _, inverse = np.unique(v & ~np.uint64(31), return_inverse=True)
+    counts = np.bincount(inverse, np.exp2((v & np.uint64(31)).astype(float)))
+    code = np.where(counts >= HOT, 2, (counts > 1).astype(int)).astype(np.uint8)[inverse]
     ends = np.cumsum(sizes)
     return pd.DataFrame({"chunk": df["chunk"], "nb": df["nb"], "codes": [code[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
 
@@ -227,54 +228,106 @@ def _count_names(df: pd.DataFrame) -> pd.DataFrame:
 RECORDS = pa.schema([("nb", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("at", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("sub", pa.binary()), ("blob", pa.binary())])
 
 
+class _Repeated:
+    """The runs of a chunk whose names repeat: distinct contexts in the order of (doc_id, start), and those that come again."""
+
+    def __init__(self, row: dict, c: _Chunk, buckets: int):
+        first, size, names = c.samples()
+        _, at, bucket, _ = c.named(names, buckets)
+        codes = np.frombuffer(b"".join(x["codes"] for x in sorted(row["reply"].as_py(), key=lambda x: x["nb"])), np.uint8)[at]
+        r = np.flatnonzero(codes)
+        self.first, self.size, self.nb, self.code = first[r], size[r], bucket[at][r], codes[r]
+        self.sub = (names[r] >> np.uint64(48)).astype(np.uint16)
+        self.doc = np.searchsorted(c.ends, self.first, side="right")
+        self.id, self.start = c.ids[self.doc], self.first - c.starts[self.doc]
+        self.blob = c.bytes.tobytes()
+        seen: dict[bytes, int] = {}
+        self.again = []
+        for i in np.lexsort((self.first, self.id)).tolist():
+            if self.context(i) in seen:
+                self.again.append(i)
+            else:
+                seen[self.context(i)] = i
+        self.distinct = np.fromiter(seen.values(), np.int64, len(seen))
+
+    def context(self, i: int) -> bytes:
+        return self.blob[self.first[i] : self.first[i] + self.size[i] + LENGTH - 1]
+
+
+DIGESTS = pa.schema([("nb", pa.int32()), ("chunk", pa.int64()), ("digest", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+
+
+def _digests(buckets: int):
+    """Digests of the distinct contexts of a chunk, dealt by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, c in _chunks(batches):
+            f = _Repeated(row, c, buckets)
+            if not len(f.distinct):
+                continue
+            d = np.frombuffer(b"".join(hashlib.blake2b(f.context(i), digest_size=16).digest() for i in f.distinct.tolist()), np.uint64).reshape(-1, 2)
+            nb = (d[:, 0] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(nb, kind="stable")
+            cut = np.flatnonzero(np.diff(nb[order], prepend=-1))
+            own = row["chunk"].as_py()
+            out = []
+            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+                r = order[a:b]
+                k = f.distinct[r]
+                out.append((int(nb[r[0]]), own, d[r].tobytes(), f.id[k].tobytes(), f.start[k].astype(np.int32).tobytes() + r.astype(np.int32).tobytes()))
+            yield _batch(DIGESTS, out)
+
+    return run
+
+
+def _first_contexts(df: pd.DataFrame) -> pd.DataFrame:
+    """Which distinct contexts of a chunk, by number, occur whole in front of that place."""
+    n = [len(x) // 8 for x in df["doc"]]
+    d = np.frombuffer(b"".join(df["digest"]), np.uint64).reshape(-1, 2)
+    doc = np.frombuffer(b"".join(df["doc"]), np.int64)
+    start = np.concatenate([np.frombuffer(x, np.int32)[:k] for x, k in zip(df["start"], n, strict=True)])
+    number = np.concatenate([np.frombuffer(x, np.int32)[k:] for x, k in zip(df["start"], n, strict=True)])
+    order = np.lexsort((start, doc, d[:, 1], d[:, 0]))
+    x, y, z, w = d[order, 0], d[order, 1], doc[order], start[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = np.zeros(len(order), bool)
+    later[order] = (z != z[lead]) | (w != w[lead])
+    ends = np.cumsum(n)
+    return pd.DataFrame({"chunk": df["chunk"], "later": [number[e - k : e][later[e - k : e]].tobytes() for e, k in zip(ends, n, strict=True)]})
+
+
 def _contexts(buckets: int):
-    """Contexts of repeated names, dealt by name; those of hot names as single windows, dealt by content.
+    """Contexts of repeated names that occur nowhere earlier, dealt by name; of hot names as single windows, dealt by content.
 
-    A context that occurs again in the chunk is decided here: all its windows repeat.
+    A context that occurs earlier is decided here: all its windows repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, c in _chunks(batches):
-            first, size, names = c.samples()
-            if not len(first) or row["reply"].as_py() is None:
-                continue
-            _, at, bucket, _ = c.named(names, buckets)
-            sub = (names >> np.uint64(48)).astype(np.uint16)
-            codes = np.frombuffer(b"".join(x["codes"] for x in sorted(row["reply"].as_py(), key=lambda x: x["nb"])), np.uint8)[at]
-            nb = bucket[at]
-            one = codes == 1
-            hot = codes == 2
-            hot_first = np.repeat(first[hot], size[hot]) + np.arange(size[hot].sum()) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot])
-            first, size, nb = np.concatenate([first[one], hot_first]), np.concatenate([size[one], np.ones(len(hot_first), np.int64)]), np.concatenate([nb[one], np.full(len(hot_first), -1)])
-            sub = np.concatenate([sub[one], np.zeros(len(hot_first), np.uint16)])
-            doc = np.searchsorted(c.ends, first, side="right")
-            order = np.lexsort((first, c.ids[doc]))
-            blob, seen = c.bytes.tobytes(), {}
-            put: dict[int, list[int]] = {}
-            again = []
-            for i in order.tolist():
-                a = int(first[i])
-                ctx = blob[a : a + int(size[i]) + LENGTH - 1]
-                if ctx in seen:
-                    again.append(i)
-                    continue
-                b = int(nb[i])
-                if b < 0:
-                    digest = hashlib.blake2b(ctx, digest_size=8).digest()
-                    b, sub[i] = int.from_bytes(digest[:6], "little") % buckets, int.from_bytes(digest[6:], "little")
-                seen[ctx] = i
-                put.setdefault(b, []).append(i)
+            f = _Repeated(row, c, buckets)
+            later = np.zeros(len(f.distinct), bool)
+            for x in row["later"].as_py() or []:
+                later[np.frombuffer(x, np.int32)] = True
             own = row["chunk"].as_py()
+            put: dict[int, list[tuple[int, int, int, int]]] = {}
+            for i in f.distinct[~later].tolist():
+                if f.code[i] == 1:
+                    put.setdefault(int(f.nb[i]), []).append((i, 0, int(f.size[i]), int(f.sub[i])))
+                    continue
+                for j in range(int(f.size[i])):
+                    digest = hashlib.blake2b(f.context(i)[j : j + LENGTH], digest_size=8).digest()
+                    put.setdefault(int.from_bytes(digest[:6], "little") % buckets, []).append((i, j, 1, int.from_bytes(digest[6:], "little")))
 
-            def record(b: int, kind: int, rows: list[int]):
-                r = np.array(rows, np.int64)
-                d = doc[r]
-                text = b"" if kind else b"".join(blob[first[i] : first[i] + size[i] + LENGTH - 1] for i in rows)
-                return (b, own, kind, c.ids[d].tobytes(), d.astype(np.int32).tobytes(), (first[r] - c.starts[d]).tobytes(), size[r].astype(np.int32).tobytes(), sub[r].tobytes(), text)
+            def record(b: int, kind: int, rows: list[tuple[int, int, int, int]]):
+                i, j, n, sub = np.array(rows, np.int64).T
+                text = b"" if kind else b"".join(f.blob[a : a + k + LENGTH - 1] for a, k in zip((f.first[i] + j).tolist(), n.tolist(), strict=True))
+                return (b, own, kind, f.id[i].tobytes(), f.doc[i].astype(np.int32).tobytes(), (f.start[i] + j).tobytes(), n.astype(np.int32).tobytes(), sub.astype(np.uint16).tobytes(), text)
 
             out = [record(b, 0, rows) for b, rows in put.items()]
+            again = [*f.again, *f.distinct[later].tolist()]
             if again:
-                out.append(record(own % buckets, 1, again))
+                out.append(record(own % buckets, 1, [(i, 0, int(f.size[i]), 0) for i in again]))
             if out:
                 yield _batch(RECORDS, out)
 
@@ -380,8 +433,8 @@ def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     documents, and are judged on the input. ``kept`` is the SHA-256 of the remaining bytes, or the bytes themselves
     with ``with_bytes``.
 
-    Rows that share a doc_id do not precede one another at equal places, so an exactly repeated row gets the result
-    its like gets. A null doc_id comes first of all and is one document id. Documents shorter than LENGTH lose nothing;
+    An exactly repeated row (same doc_id, same text) gets the result its like gets. Of different texts under one doc_id,
+    equal strings at equal places may count as earlier in either. A null doc_id comes first of all and is one document id. Documents shorter than LENGTH lose nothing;
     an exact copy of LENGTH bytes or more loses all. An empty table gives no rows; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
@@ -402,6 +455,10 @@ def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     codes = names.groupBy("nb").applyInPandas(_count_names, "chunk long, nb int, codes binary")
     reply = materialize(codes.groupBy("chunk").agg(F.collect_list(F.struct("nb", "codes")).alias("reply")), "dup-reply")
     asked = chunks.join(active.join(reply, "chunk"), "chunk").select("chunk", "ids", "lens", "blob", "active", "reply")
+    digests = asked.mapInArrow(_digests(buckets), "nb int, chunk long, digest binary, doc binary, start binary")
+    later = digests.groupBy("nb").applyInPandas(_first_contexts, "chunk long, later binary").groupBy("chunk").agg(F.collect_list("later").alias("later"))
+    later = materialize(later, "dup-later")
+    asked = chunks.join(active.join(reply, "chunk").join(later, "chunk", "left"), "chunk").select("chunk", "ids", "lens", "blob", "active", "reply", "later")
     records = asked.mapInArrow(_contexts(buckets), "nb int, chunk long, kind int, doc binary, at binary, start binary, n binary, sub binary, blob binary")
     told = records.groupBy("nb").applyInPandas(_compare, "chunk long, at binary, a binary, b binary")
     told = materialize(told.groupBy("chunk").agg(F.collect_list(F.struct("at", "a", "b")).alias("told")), "dup-told")
