@@ -1,16 +1,68 @@
-"""The corpus pipeline: stages that each take all that the one before kept."""
+"""The corpus pipeline: from raw documents to a mix for training.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
+of documents. SQL cannot express the classifier, so ORACLE_SQL is None and the stages are tested by brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maxfold.llm import decontaminate, exactdup, mixing, neardup, quality
+from maxfold.llm._common import materialize, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    scored = quality.with_quality(docs, table(spark, sf_dir, "labels"), "_quality")
+    return scored.where(F.col("_quality.score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate class; rows without a doc_id go, repeated ones stay once."""
+    classes = neardup.near_duplicates(docs)
+    heads = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "pipeline-heads")
+    same = F.col("doc_id") == F.col("_id")
+    out = docs.join(heads.where("_n = 1"), same, "left_semi")
+    many = heads.where("_n > 1")
+    if many.take(1):
+        out = out.unionByName(docs.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
+    return out
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes and more that also start earlier."""
+    return exactdup.strip_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), "_leaks")
+    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their size and the words taken (twice the size: two epochs)."""
+    mix = mixing.mix_sources(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
+    taken = mix.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
+    return docs.join(taken, F.col("doc_id") == F.col("_id")).select(*docs.columns, "size", "target", "taken")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The documents after all stages, each stage's result written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

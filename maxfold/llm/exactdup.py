@@ -480,3 +480,24 @@ def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
         same = whole.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, empty).otherwise(F.col("sha")).alias("kept"))
     led = rest.where(is_lead).select("doc_id", "sha", "n_bytes").join(done, ["doc_id", "sha"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     return led.unionByName(same).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes removed from text, n_chars counted anew; a document that loses all it had is dropped.
+
+    What find_repeats() keeps, less the parts of characters that a cut goes through. The doc_ids are distinct here; a
+    row with a null doc_id is dropped. Null texts stay null; other columns pass through.
+    """
+    kept = find_repeats(docs.select("doc_id", "text"), with_bytes=True).where("n_removed > 0 and doc_id is not null")
+    schema = pa.schema([("doc_id", pa.int64()), ("_text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
+
+    changed = kept.select("doc_id", "kept").mapInArrow(run, "doc_id long, _text string").withColumnRenamed("doc_id", "_id")
+    joined = docs.where("doc_id is not null").join(changed, F.col("doc_id") == F.col("_id"), "left").where("_text is null or trim(_text) != ''")
+    text = F.coalesce("_text", "text")
+    columns = [text.alias(c) if c == "text" else F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.select(*columns)
