@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ SORT = 1 << 20
 #: A name that occurs so often is hot: its windows travel alone, dealt by their own content.
 HOT = 1 << 15
 NULL_ID = -(1 << 63)
+TEXT_NULL = "_maxfold_text_is_null"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -156,7 +158,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Chunk]]:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             raw = [row[c].as_buffer() for c in ("ids", "lens", "blob")]
-            yield row, _Chunk(*raw, row["active"].as_py() if "active" in row else [])
+            yield row, _Chunk(*raw, (row["active"].as_py() if "active" in row else None) or [])
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -164,36 +166,48 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """Texts as rows of about CHUNK bytes, (chunk, ids, lens, blob), in a table bucketed by chunk.
+    """Texts as rows of about CHUNK bytes, (chunk, ids, lens, blob, rest), in a table bucketed by chunk.
 
-    Joins by chunk then move only the other side: the text is written once and never shuffled.
+    Joins by chunk then move only the other side: the text is written once and never shuffled. ``rest`` holds the other
+    columns as an Arrow stream, with one more, which says where the text is null.
     """
     spark = docs.sparkSession
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("blob", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("blob", pa.binary()), ("rest", pa.binary())])
+    others = [c for c in docs.columns if c != "text"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, slices, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def row():
             ids, lens = np.array([d for d, _ in held], np.int64), np.array([len(t) for _, t in held], np.int64)
-            return _batch(schema, [(number, ids.tobytes(), lens.tobytes(), b"".join(t for _, t in held))])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, slices[0].schema) as stream:
+                for x in slices:
+                    stream.write_batch(x)
+            return _batch(schema, [(number, ids.tobytes(), lens.tobytes(), b"".join(t for _, t in held), sink.getvalue().to_pybytes())])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = batch.column(1)
+            rest = pa.RecordBatch.from_arrays([*batch.columns[2:], texts.is_null()], names=[*others, TEXT_NULL])
+            begin = 0
+            for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), texts.to_pylist(), strict=True)):
                 raw = (t or "").encode()
                 if held and size + len(raw) > CHUNK:
+                    if i > begin:
+                        slices.append(rest.slice(begin, i - begin))
                     yield row()
-                    number, held, size = number + 1, [], 0
+                    number, held, slices, size, begin = number + 1, [], [], 0, i
                 held.append((d, raw))
                 size += len(raw)
+            slices.append(rest.slice(begin))
         if held:
             yield row()
 
     small_arrow_batches(spark, 500)
     name = f"maxfold_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text").mapInArrow(pack, "chunk long, ids binary, lens binary, blob binary")
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text", *others).mapInArrow(pack, "chunk long, ids binary, lens binary, blob binary, rest binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
@@ -409,36 +423,26 @@ def _kept(c: _Chunk, d: int, runs: list[tuple[int, int]]) -> bytes:
 RESULT = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def _results(with_bytes: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, c in _chunks(batches):
-            spans = removed_spans(c, row["told"].as_py())
-            out = []
-            for d in c.active.tolist():
-                runs = spans.get(d, [])
-                kept = _kept(c, d, runs)
-                sha = hashlib.sha256(c.bytes[c.starts[d] : c.ends[d]]).digest()
-                out.append((int(c.ids[d]), sha, sum(e - s for s, e in runs), len(runs), kept if with_bytes else hashlib.sha256(kept).digest()))
-            if out:
-                yield _batch(RESULT, out)
-
-    return run
-
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, c in _chunks(batches):
+        spans = removed_spans(c, row["told"].as_py())
+        out = []
+        for d in c.active.tolist():
+            runs = spans.get(d, [])
+            sha = hashlib.sha256(c.bytes[c.starts[d] : c.ends[d]]).digest()
+            out.append((int(c.ids[d]), sha, sum(e - s for s, e in runs), len(runs), hashlib.sha256(_kept(c, d, runs)).digest()))
+        if out:
+            yield _batch(RESULT, out)
 
-def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: what is left once repeated bytes are removed.
 
-    Texts are UTF-8 bytes, a null text is empty. A byte is removed where a LENGTH-byte string that covers it also
-    starts earlier: in a document with a smaller doc_id, or in the same one at an earlier place. Strings do not cross
-    documents, and are judged on the input. ``kept`` is the SHA-256 of the remaining bytes, or the bytes themselves
-    with ``with_bytes``.
+def _locate(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their SHA-256, the first of each distinct text of LENGTH bytes or more, chunks with what repeats).
 
-    An exactly repeated row (same doc_id, same text) gets the result its like gets. Of different texts under one doc_id,
-    equal strings at equal places may count as earlier in either. A null doc_id comes first of all and is one document id. Documents shorter than LENGTH lose nothing;
-    an exact copy of LENGTH bytes or more loses all. An empty table gives no rows; other columns are ignored.
+    Only the first of equal texts is active: it is searched, and searched for.
     """
     spark: SparkSession = docs.sparkSession
     chunks = chunk_table(docs)
+    texts = chunks.select("chunk", "ids", "lens", "blob")
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,57 +451,84 @@ def find_repeats(docs: DataFrame, *, with_bytes: bool = False) -> DataFrame:
             own = row["chunk"].as_py()
             yield _batch(schema, [(own, i, int(c.ids[i]), int(c.lens[i]), hashlib.sha256(c.bytes[c.starts[i] : c.ends[i]]).digest()) for i in range(len(c.ids))])
 
-    every = materialize(chunks.mapInArrow(digest, "chunk long, idx int, doc_id long, n_bytes long, sha binary"), "dup-docs")
+    every = materialize(texts.mapInArrow(digest, "chunk long, idx int, doc_id long, n_bytes long, sha binary"), "dup-docs")
     first = materialize(every.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min(F.struct("doc_id", "chunk", "idx")).alias("f")), "dup-first")
     active = materialize(first.groupBy(F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.idx").alias("active")), "dup-active")
-    live = chunks.join(active, "chunk").select("chunk", "ids", "lens", "blob", "active")
-    names = live.mapInArrow(_names(buckets), "nb int, chunk long, names binary")
+    names = texts.join(active, "chunk").mapInArrow(_names(buckets), "nb int, chunk long, names binary")
     codes = names.groupBy("nb").applyInPandas(_count_names, "chunk long, nb int, codes binary")
     reply = materialize(codes.groupBy("chunk").agg(F.collect_list(F.struct("nb", "codes")).alias("reply")), "dup-reply")
-    asked = chunks.join(active.join(reply, "chunk"), "chunk").select("chunk", "ids", "lens", "blob", "active", "reply")
+    asked = texts.join(active.join(reply, "chunk"), "chunk")
     digests = asked.mapInArrow(_digests(buckets), "nb int, chunk long, digest binary, doc binary, start binary")
     later = digests.groupBy("nb").applyInPandas(_first_contexts, "chunk long, later binary").groupBy("chunk").agg(F.collect_list("later").alias("later"))
     later = materialize(later, "dup-later")
-    asked = chunks.join(active.join(reply, "chunk").join(later, "chunk", "left"), "chunk").select("chunk", "ids", "lens", "blob", "active", "reply", "later")
+    asked = texts.join(active.join(reply, "chunk").join(later, "chunk", "left"), "chunk")
     records = asked.mapInArrow(_contexts(buckets), "nb int, chunk long, kind int, doc binary, at binary, start binary, n binary, sub binary, blob binary")
     told = records.groupBy("nb").applyInPandas(_compare, "chunk long, at binary, a binary, b binary")
     told = materialize(told.groupBy("chunk").agg(F.collect_list(F.struct("at", "a", "b")).alias("told")), "dup-told")
-    final = chunks.join(active.join(told, "chunk", "left"), "chunk").select("chunk", "ids", "lens", "blob", "active", "told")
-    done = final.mapInArrow(_results(with_bytes), "doc_id long, sha binary, n_removed long, n_spans long, kept binary")
-    lead = first.select("sha", F.col("f.doc_id").alias("lead"))
-    rest = every.join(lead, "sha", "left")
+    return every, first, chunks.join(active.join(told, "chunk", "left"), "chunk", "left")
+
+
+def find_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row: what is left once repeated bytes are removed.
+
+    Texts are UTF-8 bytes, a null text is empty. A byte is removed where a LENGTH-byte string that covers it also
+    starts earlier: in a document with a smaller doc_id, or in the same one at an earlier place. Strings do not cross
+    documents, and are judged on the input. ``kept_sha256`` is that of the remaining bytes, as 32 bytes.
+
+    An exactly repeated row (same doc_id, same text) gets the result its like gets. Of different texts under one doc_id,
+    equal strings at equal places may count as earlier in either. A null doc_id comes first of all and is one document
+    id. Documents shorter than LENGTH lose nothing; an exact copy of LENGTH bytes or more loses all. An empty table
+    gives no rows; other columns are ignored.
+    """
+    every, first, found = _locate(docs.select("doc_id", "text"))
+    done = found.where("active is not null").drop("rest").mapInArrow(_results, "doc_id long, sha binary, n_removed long, n_spans long, kept binary")
+    done = done.withColumnRenamed("doc_id", "_lead").withColumnRenamed("sha", "_sha")
+    rest = every.join(first.select("sha", F.col("f.doc_id").alias("lead")), "sha", "left")
     is_lead = F.coalesce(F.col("lead") == F.col("doc_id"), F.lit(False))
-    whole = rest.where(~is_lead)
     gone = F.col("n_bytes") >= LENGTH
-    if with_bytes:
-        # an untouched short text is not in the results of the chunks: its bytes are read once more
-        raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-        short = raw.where(F.length("raw") < LENGTH).select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("raw").alias("kept"))
-        copies = whole.where(gone).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-        same = short.unionByName(copies)
-    else:
-        empty = F.lit(hashlib.sha256(b"").digest())
-        same = whole.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, empty).otherwise(F.col("sha")).alias("kept"))
-    led = rest.where(is_lead).select("doc_id", "sha", "n_bytes").join(done, ["doc_id", "sha"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
-    return led.unionByName(same).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    empty = F.lit(hashlib.sha256(b"").digest())
+    same = rest.where(~is_lead).select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, empty).otherwise(F.col("sha")).alias("kept"))
+    led = rest.where(is_lead).join(done, (F.col("doc_id") == F.col("_lead")) & (F.col("sha") == F.col("_sha"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    return led.unionByName(same).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).withColumnRenamed("kept", "kept_sha256")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated bytes removed from text, n_chars counted anew; a document that loses all it had is dropped.
+    """``docs`` with repeated bytes removed from text and n_chars counted anew where it changes.
 
-    What find_repeats() keeps, less the parts of characters that a cut goes through. The doc_ids are distinct here; a
-    row with a null doc_id is dropped. Null texts stay null; other columns pass through.
+    Bytes go as find_repeats() says, and with them the parts of characters that a cut goes through. A document that
+    loses all it had, as an exact copy does, is dropped; null and short texts stay as they are. All other columns pass
+    through. Texts are not shuffled.
     """
-    kept = find_repeats(docs.select("doc_id", "text"), with_bytes=True).where("n_removed > 0 and doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("_text", pa.string())])
+    _, _, found = _locate(docs)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
-
-    changed = kept.select("doc_id", "kept").mapInArrow(run, "doc_id long, _text string").withColumnRenamed("doc_id", "_id")
-    joined = docs.where("doc_id is not null").join(changed, F.col("doc_id") == F.col("_id"), "left").where("_text is null or trim(_text) != ''")
-    text = F.coalesce("_text", "text")
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+        for row, c in _chunks(batches):
+            spans = removed_spans(c, row["told"].as_py())
+            active = set(c.active.tolist())
+            rest = pa.ipc.open_stream(row["rest"].as_buffer()).read_all()
+            null = rest.column(TEXT_NULL).to_pylist()
+            keep, texts, lengths = [], [], []
+            for d, size in enumerate(c.lens.tolist()):
+                if size >= LENGTH and d not in active:
+                    continue
+                text = _kept(c, d, spans.get(d, [])).decode("utf-8", "ignore")
+                if d in spans and not text.strip():
+                    continue
+                keep.append(d)
+                texts.append(None if null[d] else text)
+                lengths.append(len(text) if d in spans else None)
+            if keep:
+                kept = rest.take(pa.array(keep))
+                arrays = []
+                for name in columns:
+                    if name == "text":
+                        arrays.append(pa.array(texts, pa.string()))
+                        continue
+                    x = kept.column(name).combine_chunks()
+                    if name == "n_chars":
+                        x = pa.compute.coalesce(pa.array(lengths, pa.int64()).cast(x.type), x)
+                    arrays.append(x)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return found.mapInArrow(run, docs.schema)

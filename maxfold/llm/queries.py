@@ -21,7 +21,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exactdup.find_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
