@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._common import small_arrow_batches
 
 #: Edits allowed per character of a test item.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Shorter items (normalised) take no part: they occur by chance.
 MIN_CHARS = 16
 #: Characters of benchmark text that one automaton holds; a larger benchmark is searched in parts.

@@ -391,7 +391,7 @@ def _compare(df: pd.DataFrame) -> pd.DataFrame:
         by = np.argsort(hit_chunk, kind="stable")
         hit_chunk, hit_at, hit_a, hit_b = hit_chunk[by], hit_at[by], hit_a[by], hit_b[by]
         cut = np.flatnonzero(np.diff(hit_chunk, prepend=-1))
-        for x, y in zip(cut, [*cut[1:], len(hit_chunk)], strict=True):
+        for x, y in zip(cut, np.append(cut[1:], len(hit_chunk)), strict=False):
             told(int(hit_chunk[x]), hit_at[x:y], hit_a[x:y], hit_b[x:y])
     rows = [(k, *(np.concatenate(x).tobytes() for x in zip(*v, strict=True))) for k, v in out.items()]
     return pd.DataFrame(rows, columns=["chunk", "at", "a", "b"])

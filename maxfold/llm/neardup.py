@@ -132,10 +132,17 @@ def link_texts(sig: np.ndarray, bags: list, side: np.ndarray | None, similarity:
 
     if a:
         a, b, s = map(np.concatenate, (a, b, s))
-        for k in np.argsort(-s, kind="stable"):
-            x, y = find(a[k]), find(b[k])
-            if x != y and overlap(bags[a[k]], bags[b[k]]) >= similarity:
-                root[max(x, y)] = min(x, y)
+        order = np.argsort(-s, kind="stable")
+        a, b = a[order], b[order]
+        while len(a):
+            for i, j in zip(a[:4096].tolist(), b[:4096].tolist(), strict=True):
+                x, y = find(i), find(j)
+                if x != y and overlap(bags[i], bags[j]) >= similarity:
+                    root[max(x, y)] = min(x, y)
+            now = np.array([find(i) for i in range(n)])
+            a, b = a[4096:], b[4096:]
+            apart = now[a] != now[b]
+            a, b = a[apart], b[apart]
     return np.array([find(i) for i in range(n)], np.int64)
 
 
