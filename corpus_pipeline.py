@@ -22,15 +22,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class; rows without a doc_id go, repeated ones stay once."""
-    classes = neardup.near_duplicates(docs)
-    heads = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "pipeline-heads")
+    """The document with the least doc_id of each near-duplicate class; rows without a doc_id stay, repeated ones once.
+
+    The ids to drop are fewer than those to keep, so the anti-join has the smaller other side.
+    """
+    classes = materialize(neardup.near_duplicates(docs), "pipeline-classes")
     same = F.col("doc_id") == F.col("_id")
-    out = docs.join(heads.where("_n = 1"), same, "left_semi")
-    many = heads.where("_n > 1")
-    if many.take(1):
-        out = out.unionByName(docs.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
+    repeated = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if repeated.take(1):
+        once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+        return docs.join(dropped.unionByName(repeated), same, "left_anti").unionByName(once)
+    return docs.join(dropped, same, "left_anti")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
