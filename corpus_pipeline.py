@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to a mix for training.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
-of documents. SQL cannot express the classifier, so ORACLE_SQL is None and the stages are tested by brute force.
+of documents. A stage's result is written before the next stage begins, which then deletes the intermediate tables of
+those before it. SQL cannot express the classifier, so ORACLE_SQL is None and the stages are tested by brute force.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maxfold.llm import decontaminate, exactdup, mixing, neardup, quality
-from maxfold.llm._common import materialize, table
+from maxfold.llm._common import materialize, release, table
 
 ORACLE_SQL = None
 
@@ -26,6 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The ids to drop are fewer than those to keep, so the anti-join has the smaller other side.
     """
+    release(docs)
     classes = materialize(neardup.near_duplicates(docs), "pipeline-classes")
     same = F.col("doc_id") == F.col("_id")
     dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
@@ -38,17 +40,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes and more that also start earlier."""
+    release(docs)
     return exactdup.strip_repeats(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    release(docs)
     found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), "_leaks")
     return found.where(F.size("_leaks") == 0).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken (twice the size: two epochs)."""
+    release(docs)
     mix = mixing.mix_sources(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
     taken = mix.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
     return docs.join(taken, F.col("doc_id") == F.col("_id")).select(*docs.columns, "size", "target", "taken")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Intermediate tables written by this driver: path -> table name, if the catalog knows it.
+_written: dict[str, str | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maxfold-{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _written[path] = None
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -40,3 +43,31 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a Python worker holds a few MB of texts at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def written_table(df: DataFrame, name: str, bucket_by: str) -> DataFrame:
+    """``df`` as a bucketed Parquet table in the shared folder: joins by ``bucket_by`` do not shuffle it."""
+    spark = df.sparkSession
+    name = f"maxfold_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _written[path] = name
+    df.write.bucketBy(buckets, bucket_by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the intermediate tables written so far, but for those that ``docs`` reads.
+
+    For a chain of stages, each of whose results is written before the next begins.
+    """
+    spark, read = docs.sparkSession, docs.inputFiles()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, name in list(_written.items()):
+        if any(path.rsplit("/", 1)[-1] in f for f in read):
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        del _written[path]

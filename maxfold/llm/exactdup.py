@@ -11,7 +11,6 @@ shuffled. Whole documents are compared by SHA-256.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, shared_dir, small_arrow_batches
+from ._common import materialize, small_arrow_batches, written_table
 from .suffix import suffix_array
 
 #: Bytes that must repeat; bytes of a sample block; blocks that a window chooses from.
@@ -206,11 +205,8 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             yield row()
 
     small_arrow_batches(spark, 500)
-    name = f"maxfold_chunks_{uuid.uuid4().hex}"
     packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), "text", *others).mapInArrow(pack, "chunk long, ids binary, lens binary, blob binary, rest binary")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return written_table(packed, "chunks", "chunk")
 
 
 def _names(buckets: int):
