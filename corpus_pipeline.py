@@ -7,27 +7,44 @@ those before it. SQL cannot express the classifier, so ORACLE_SQL is None and th
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maxfold.llm import decontaminate, exactdup, mixing, neardup, quality
-from maxfold.llm._common import materialize, release, table
+from maxfold.llm._common import materialize, owned, release, table
 
 ORACLE_SQL = None
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """Own the intermediate tables that a stage writes, and delete those of the stages before it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release("pipeline", docs)
+        with owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     scored = quality.with_quality(docs, table(spark, sf_dir, "labels"), "_quality")
     return scored.where(F.col("_quality.score") >= quality.THRESHOLD).select(*docs.columns)
 
 
+@stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each near-duplicate class; rows without a doc_id stay, repeated ones once.
 
     The ids to drop are fewer than those to keep, so the anti-join has the smaller other side.
     """
-    release(docs)
     classes = materialize(neardup.near_duplicates(docs), "pipeline-classes")
     same = F.col("doc_id") == F.col("_id")
     dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
@@ -38,22 +55,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(dropped, same, "left_anti")
 
 
+@stage
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes and more that also start earlier."""
-    release(docs)
     return exactdup.strip_repeats(docs)
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    release(docs)
     found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), "_leaks")
     return found.where(F.size("_leaks") == 0).select(*docs.columns)
 
 
+@stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken (twice the size: two epochs)."""
-    release(docs)
     mix = mixing.mix_sources(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
     taken = mix.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
     return docs.join(taken, F.col("doc_id") == F.col("_id")).select(*docs.columns, "size", "target", "taken")
@@ -71,6 +88,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents after all stages, each stage's result written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, step in STAGES[:-1]:
+        out = step(spark, docs, sf_dir)
+        with owned("pipeline"):
+            docs = materialize(out, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

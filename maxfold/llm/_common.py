@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: Intermediate tables written by this driver: path -> table name, if the catalog knows it.
-_written: dict[str, str | None] = {}
+#: Intermediate tables written for an owner (owned()): path -> (owner, table name if the catalog knows it).
+_written: dict[str, tuple[str, str | None]] = {}
+_owner: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maxfold-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    _written[path] = None
+    _record(path, None)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -51,20 +54,35 @@ def written_table(df: DataFrame, name: str, bucket_by: str) -> DataFrame:
     name = f"maxfold_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _written[path] = name
+    _record(path, name)
     df.write.bucketBy(buckets, bucket_by).option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete the intermediate tables written so far, but for those that ``docs`` reads.
+def _record(path: str, name: str | None) -> None:
+    if _owner:
+        _written[path] = (_owner[-1], name)
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Intermediate tables written within belong to ``owner``, who may release() them."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(owner: str, docs: DataFrame) -> None:
+    """Delete the owner's intermediate tables, but for those that ``docs`` reads.
 
     For a chain of stages, each of whose results is written before the next begins.
     """
     spark, read = docs.sparkSession, docs.inputFiles()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path, name in list(_written.items()):
-        if any(path.rsplit("/", 1)[-1] in f for f in read):
+    for path, (whose, name) in list(_written.items()):
+        if whose != owner or any(path.rsplit("/", 1)[-1] in f for f in read):
             continue
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
