@@ -218,7 +218,8 @@ def _(spark, d):
     "lr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ls)", select=TOP.format(t="lr")))
 def _(spark, d):
     tok, q = weighted_words(spark, d)
-    s = tok.select("doc_id", "token").distinct().join(q, "token").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    asked = score.checked_broadcast(q.select("token").distinct())
+    s = tok.select("doc_id", "token").join(asked, "token", "left_semi").distinct().join(q, "token").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return shown(score.top_k(s, 10))
 
 
