@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
+#: A node's edges are dealt to so many parts at most, by the other node, so that no task reads a whole large star.
+SALTS = 256
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """(u, v) with u > v: each node's neighbours are linked to the least of them and itself."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", F.least("u", "m").alias("m"), "salts")
+    linked = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
