@@ -11,6 +11,15 @@ from ._common import materialize
 SALTS = 256
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row per ``key``; a key with many rows is dealt to SALTS parts by ``by``.
+
+    A row of ``one`` is repeated for the parts that have rows only.
+    """
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(dealt.select(key, "_salt").distinct().join(one, key), [key, "_salt"]).drop("_salt")
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """(u, v) with u > v: each node's neighbours are linked to the least of them and itself."""
     both = edges.select("u", "v")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, small_arrow_batches
-from .components import connected_components
+from .components import connected_components, salted_join
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Registers of a signature; bands of ROWS registers. Two texts of similarity 0.8 share a band with probability 0.9998.
@@ -19,8 +19,9 @@ REGISTERS, ROWS = 64, 4
 BANDS = REGISTERS // ROWS
 #: Pairs of one component whose registers agree less are not verified: at similarity 0.8 that has probability 1e-6.
 AGREEMENT = 34 / 64
-#: Texts that one task verifies at once; larger components are cut into blocks of half as many, all pairs of which are tasks.
-TILE = 2048
+#: Weight of the texts that one task verifies at once; components beyond it are cut into blocks of half as much. A text
+#: weighs 1, and 1 more for each HEAVY distinct shingles, so a task holds 200 MB of shingles at most besides a longer text.
+TILE, HEAVY = 2048, 8192
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,24 +107,25 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def link_texts(sig: np.ndarray, bags: list, side: np.ndarray | None, similarity: float) -> np.ndarray:
+def link_texts(sig: np.ndarray, bags: list, known: np.ndarray, side: np.ndarray | None, similarity: float) -> np.ndarray:
     """The least index of each text's class: classes are connected by pairs of at least ``similarity``.
 
     Pairs are verified in the order of agreeing registers; one whose texts are already connected needs no verifying.
-    ``side``: only pairs of texts from different sides count.
+    ``known``: labels of texts that are connected from the start. ``side``: only pairs of texts from different sides count.
     """
+    known = np.unique(known, return_inverse=True)[1]
     n = len(sig)
     a, b, s = [], [], []
     for i in range(n - 1):
         agree = (sig[i + 1 :] == sig[i]).mean(1)
-        ok = agree >= AGREEMENT
+        ok = (agree >= AGREEMENT) & (known[i + 1 :] != known[i])
         if side is not None:
             ok &= side[i + 1 :] != side[i]
         j = np.flatnonzero(ok)
         a.append(np.full(len(j), i))
         b.append(j + i + 1)
         s.append(agree[j])
-    root = np.arange(n)
+    root = np.unique(known, return_index=True)[1][known]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -147,7 +149,7 @@ def link_texts(sig: np.ndarray, bags: list, side: np.ndarray | None, similarity:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sig): fp identifies the shingle multiset, null where there is none."""
+    """(doc_id, fp, sig, weight): fp identifies the shingle multiset, null where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -157,9 +159,79 @@ def sign(docs: DataFrame) -> DataFrame:
             bags = [shingles(t.as_py(), words) for t in batch.column(1)]
             sigs = bag_signatures(bags)
             fp = [xxhash.xxh128_digest(h.tobytes() + c.tobytes()) if len(h) else None for h, c in bags]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["doc_id", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([1 + len(h) // HEAVY for h, _ in bags], pa.int32())], names=["doc_id", "fp", "sig", "weight"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary, sig binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary, sig binary, weight int")
+
+
+def text_bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, h, c): shingle hashes and counts of the documents whose id is in ``nodes`` (node)."""
+    words_of = WordHashes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [shingles(t.as_py(), words_of) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], names=["node", "h", "c"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, h binary, c binary")
+
+
+def unpack(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset from its bytes."""
+    return np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32).astype(np.int64)
+
+
+def hub_classes(docs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(node, class): texts connected by links to the most typical texts of their buckets.
+
+    ``members`` (node, key, n) are the rows of band buckets of n texts. A text is compared with one hub, that with which it
+    shares most bands; a bucket's hub is the text in the largest buckets in sum. The work is linear in a bucket's size.
+    """
+    typical = members.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = members.join(typical, "node").groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
+    met = salted_join(members.select("node", "key"), hubs, "key", "node").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
+    pairs = materialize(met.groupBy("node").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub")), "bag-hubs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, hub, h, c, hub_h, hub_c = (x.to_pylist() for x in batch.columns)
+            ok = [i for i in range(len(node)) if overlap(unpack(h[i], c[i]), unpack(hub_h[i], hub_c[i])) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([hub[i] for i in ok], pa.int64()), pa.array([node[i] for i in ok], pa.int64())], names=["a", "b"])
+
+    of_hub = text_bags(docs, pairs.select(F.col("hub").alias("node"))).select(F.col("node").alias("hub"), F.col("h").alias("hub_h"), F.col("c").alias("hub_c"))
+    sides = salted_join(pairs.join(text_bags(docs, pairs.select("node")), "node"), of_hub, "hub", "node")
+    links = sides.select("node", "hub", "h", "c", "hub_h", "hub_c").mapInArrow(verify, "a long, b long")
+    return materialize(connected_components(links), "bag-hub-classes").select("node", F.col("root").alias("class"))
+
+
+def place(members: DataFrame, tile: int) -> DataFrame:
+    """``members`` (node, root, class, weight) with the tiles that verify them.
+
+    More columns: done (the component is one class already), cut (it is beyond a tile), block and others (blocks to meet).
+    Classes that fill a block by themselves have blocks of their own, which never meet each other; the other texts share
+    blocks, which meet all. So a large group whose texts are linked already meets only the few that are not.
+    """
+    block = max(1, tile // 2)
+    sizes = members.groupBy("root", "class").agg(F.sum("weight").alias("w"))
+    own = F.col("w") > block
+    layout = sizes.groupBy("root").agg(
+        F.count("*").alias("classes"),
+        F.sum("w").alias("size"),
+        F.collect_list(F.when(own, F.struct(F.col("class").cast("string").alias("name"), F.ceil(F.col("w") / block).alias("blocks")))).alias("owns"),
+        F.ceil(F.coalesce(F.sum(F.when(~own, F.col("w"))), F.lit(0)) / block).alias("rest"),
+    )
+    placed = salted_join(members, layout, "root", "node").withColumn("done", F.col("classes") == 1).withColumn("cut", F.col("size") > tile)
+    named = lambda name, n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.concat_ws(":", name, j.cast("string")))
+    mine = F.col("class").cast("string")
+    place_of = lambda n: F.pmod(F.xxhash64("node"), n).cast("string")
+    foreign = F.flatten(F.transform(F.filter("owns", lambda x: x["name"] != mine), lambda x: named(x["name"], x["blocks"])))
+    shared = F.when(F.col("rest") > 0, named(F.lit("rest"), F.col("rest"))).otherwise(F.array().cast("array<string>"))
+    mine_own = F.filter("owns", lambda x: x["name"] == mine)
+    at = F.when(F.size(mine_own) > 0, F.concat_ws(":", mine, place_of(F.element_at(mine_own, 1)["blocks"]))).otherwise(F.concat_ws(":", F.lit("rest"), place_of(F.col("rest"))))
+    whole = F.array(F.lit("all"))
+    placed = placed.withColumn("block", F.when(F.col("cut"), at).otherwise(F.lit("all"))).withColumn("others", F.when(F.col("cut"), F.concat(foreign, shared)).otherwise(whole))
+    return placed.drop("classes", "owns", "rest")
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -171,43 +243,38 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, tile: in
     components (a star per band bucket, so no bucket makes all pairs); within these, pairs whose registers agree are
     verified by exact multiset overlap until each class is connected.
 
-    A candidate component of up to ``tile`` texts is verified by one task; a larger one in blocks, each pair of blocks
-    by a task of its own, whose links are then joined. A text without words is a class of its own, and one of fewer
-    than five words is one shingle. Null texts have no words; rows without a doc_id take no part; repeated rows appear
-    as often as given. An empty table gives no rows; other columns are ignored.
+    Texts of a component over an eighth of ``tile`` are first compared with hubs (hub_classes), so that what follows
+    meets only texts that are not connected yet. A component of up to ``tile`` is then verified by one task; a larger one
+    in blocks (place), each pair of blocks by a task of its own, whose links are then joined. A text without words is a
+    class of its own, and one of fewer than five words is one shingle. Null texts have no words; rows without a doc_id
+    take no part; repeated rows appear as often as given. An empty table gives no rows; other columns are ignored.
     """
     small_arrow_batches(docs.sparkSession)
     signed = materialize(sign(docs), "bag-signed")
-    reps = materialize(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "bag-reps")
+    reps = materialize(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("weight").alias("weight")), "bag-reps")
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
     banded = reps.select("rep", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
-    candidates = connected_components(banded.join(shared, "key").select(F.col("center").alias("a"), F.col("rep").alias("b")))
-    candidates = materialize(candidates, "bag-candidates")
-
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    placed = candidates.join(sizes, "root").join(reps.withColumnRenamed("rep", "node"), "node")
+    shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(salted_join(banded, shared, "key", "rep"), "bag-buckets")
+    candidates = connected_components(buckets.select(F.col("center").alias("a"), F.col("rep").alias("b")))
+    candidates = materialize(candidates.join(reps.select(F.col("rep").alias("node"), "weight"), "node"), "bag-candidates")
+
+    large = candidates.groupBy("root").agg(F.sum("weight").alias("size")).where(F.col("size") > max(1, tile // 8)).select("root")
+    members = candidates.withColumn("class", F.col("node"))
+    if large.take(1):
+        crowd = salted_join(candidates.select("node", "root"), large, "root", "node").select("node")
+        known = hub_classes(docs, buckets.select(F.col("rep").alias("node"), "key", "n").join(crowd, "node", "left_semi"), similarity)
+        members = candidates.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    members = materialize(place(members, tile), "bag-members")
+    todo = members.where("not done")
     small = max(1, tile // 16)
-    total = candidates.count()
-    block = max(1, tile // 2)
-    n_blocks = F.ceil(F.col("size") / block)
-    mine = F.pmod(F.xxhash64("node"), n_blocks)
-    other = F.explode(F.when(F.col("size") <= tile, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    placed = placed.withColumn("_mine", F.when(F.col("size") <= tile, F.lit(-1).cast("long")).otherwise(mine)).withColumn("_other", other)
-    group = F.when(F.col("size") <= small, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // tile)))))).otherwise(
-        F.concat_ws("/", "root", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+    bins = max(1, -(-int(todo.agg(F.sum("weight")).first()[0] or 0) // tile))
+    group = F.when(F.col("size") <= small, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins)))).otherwise(
+        F.concat_ws("/", "root", F.least("block", "other"), F.greatest("block", "other"))
     )
-    placed = placed.select("node", "root", "sig", group.alias("tile"), F.col("_mine").alias("block"), (F.col("size") > tile).alias("cut"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates.select("node"), "node", "left_semi")
-    words_of = WordHashes()
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [shingles(t.as_py(), words_of) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], names=["node", "h", "c"])
-
-    bags = texts.mapInArrow(bag, "node long, h binary, c binary")
+    placed = todo.withColumn("other", F.explode("others")).select("node", "root", "class", "block", "cut", group.alias("tile"))
+    placed = placed.join(reps.select(F.col("rep").alias("node"), "sig"), "node")
 
     def verify(df: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -215,17 +282,17 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, tile: in
         for root, part in df.groupby("root", sort=False):
             ids = part["node"].to_numpy()
             sig = np.stack([np.frombuffer(s, np.uint32) for s in part["sig"]])
-            held = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32).astype(np.int64)) for h, c in zip(part["h"], part["c"], strict=True)]
+            held = [unpack(h, c) for h, c in zip(part["h"], part["c"], strict=True)]
             blocks = part["block"].to_numpy()
-            least = link_texts(sig, held, blocks if len(set(blocks)) > 1 else None, similarity)
+            least = link_texts(sig, held, part["class"].to_numpy(), blocks if len(set(blocks)) > 1 else None, similarity)
             out.append(pd.DataFrame({"node": ids, "root": ids[least], "cut": part["cut"].to_numpy()}))
         return pd.concat(out)
 
-    linked = placed.join(bags, "node").groupBy("tile").applyInPandas(verify, "node long, root long, cut boolean")
+    linked = placed.join(text_bags(docs, todo.select("node")), "node").groupBy("tile").applyInPandas(verify, "node long, root long, cut boolean")
     linked = materialize(linked, "bag-linked")
-    classes = linked.where("not cut").select("node", "root")
+    classes = linked.where("not cut").select("node", "root").unionByName(members.where("done").select("node", F.col("class").alias("root")))
     cut = linked.where("cut").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if cut.take(1):
-        classes = classes.unionByName(connected_components(cut))
+        classes = classes.unionByName(connected_components(cut.unionByName(todo.where("cut").select(F.col("node").alias("a"), F.col("class").alias("b")))))
     rep_class = reps.select("fp", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("_class"))
     return signed.select("doc_id", "fp").join(rep_class, "fp", "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))

@@ -465,11 +465,17 @@ def near_rows():
             w[(i * 6 + j) * 61 % 400] = f"v{i}"
         rows.append((700 + i, " ".join(w)))
     rows.append((800, " ".join(base)))
+    crowd = words(rng, 400, 5000).split()
+    for i in range(120):  # near copies of one text, and some that only a few of these link
+        w = list(crowd)
+        for j in range(1 if i < 100 else 9):
+            w[(i * 7 + j * 43) % 400] = f"u{i}"
+        rows.append((1000 + i, " ".join(w)))
     rows += [(900, "go " * 500), (901, "go " * 480), (902, "go " * 300)]
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
+@pytest.mark.parametrize("tile", [2048, 128, 16])
 def test_near_duplicates_match_brute_force(spark, tile):
     rows = near_rows()
     got = neardup.near_duplicates(documents(spark, [*rows, (None, rows[0][1])]), tile=tile).collect()
