@@ -107,6 +107,34 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
+class Overlaps:
+    """Weighted Jaccard of one multiset of ``bags`` with many others at once."""
+
+    #: Elements of multisets looked at in one step.
+    STEP = 1_000_000
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = np.array([len(h) for h, _ in bags])
+        self.starts = np.cumsum(self.n) - self.n
+        vocabulary, self.ids = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)
+        self.counts = np.concatenate([c for _, c in bags])
+        self.total = np.add.reduceat(self.counts, self.starts)
+        self.weights = np.zeros(len(vocabulary), np.int64)
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Similarities of bag ``i`` to ``others``; no bag may be empty."""
+        mine = slice(self.starts[i], self.starts[i] + self.n[i])
+        self.weights[self.ids[mine]] = self.counts[mine]
+        step, common = np.cumsum(self.n[others]) // self.STEP, []
+        for js in np.split(others, np.flatnonzero(np.diff(step)) + 1):
+            first = np.cumsum(self.n[js]) - self.n[js]
+            at = np.arange(self.n[js].sum()) + np.repeat(self.starts[js] - first, self.n[js])
+            common.append(np.add.reduceat(np.minimum(self.weights[self.ids[at]], self.counts[at]), first))
+        self.weights[self.ids[mine]] = 0
+        common = np.concatenate(common)
+        return common / (self.total[i] + self.total[others] - common)
+
+
 def link_texts(sig: np.ndarray, bags: list, known: np.ndarray, side: np.ndarray | None, similarity: float) -> np.ndarray:
     """The least index of each text's class: classes are connected by pairs of at least ``similarity``.
 
@@ -136,13 +164,17 @@ def link_texts(sig: np.ndarray, bags: list, known: np.ndarray, side: np.ndarray
         a, b, s = map(np.concatenate, (a, b, s))
         order = np.argsort(-s, kind="stable")
         a, b = a[order], b[order]
+        overlaps, step = Overlaps(bags), 256
         while len(a):
-            for i, j in zip(a[:4096].tolist(), b[:4096].tolist(), strict=True):
-                x, y = find(i), find(j)
-                if x != y and overlap(bags[i], bags[j]) >= similarity:
-                    root[max(x, y)] = min(x, y)
+            x, y = a[:step], b[:step]
+            by = np.argsort(x, kind="stable")
+            for js in np.split(by, np.flatnonzero(np.diff(x[by])) + 1):
+                i, other = int(x[js[0]]), y[js]
+                for j in other[overlaps(i, other) >= similarity].tolist():
+                    u, v = find(i), find(j)
+                    root[max(u, v)] = min(u, v)
             now = np.array([find(i) for i in range(n)])
-            a, b = a[4096:], b[4096:]
+            a, b, step = a[step:], b[step:], min(2 * step, 65536)
             apart = now[a] != now[b]
             a, b = a[apart], b[apart]
     return np.array([find(i) for i in range(n)], np.int64)

@@ -501,6 +501,18 @@ def test_bag_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.03
 
 
+def test_overlaps_match_one_by_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    bags = [(np.unique(rng.integers(0, 60, n).astype(np.uint64)), None) for n in rng.integers(1, 50, 40)]
+    bags = [(h, rng.integers(1, 5, len(h))) for h, _ in bags]
+    for step in (1_000_000, 50):
+        monkeypatch.setattr(neardup.Overlaps, "STEP", step)
+        many = neardup.Overlaps(bags)
+        for i in range(39):
+            others = np.arange(i + 1, 40)
+            assert np.array_equal(many(i, others), [neardup.overlap(bags[i], bags[j]) for j in others])
+
+
 def test_components(spark):
     rng = random.Random(15)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 6000 + i) for i in range(500)]
