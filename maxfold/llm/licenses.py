@@ -40,9 +40,56 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    # headers
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GNU-header-opening": "This program is free software: you can redistribute it",
+    "LGPL-3.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    # bodies: whole where short, else a passage that every copy holds
+    "AGPL-3.0-body": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "Apache-2.0-body": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "BSD-3-Clause-body": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0-body": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "CC-body": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons",
+    "GPL-2.0-body": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+    "GPL-3.0-body": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "ISC-body": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-3.0-body": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "MIT-body": "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MPL-2.0-body": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: (a) under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work",
 }
 
 
+def _wordings() -> dict[str, tuple[str, ...]]:
+    out = {"All-rights-reserved": ("All rights reserved",)}
+    for name in ("MIT", "ISC"):
+        out[name] = (f"The {name} License {name}", f"{name} License Copyright")
+    named = {
+        "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache License v2.0", "Apache Software License Version 2.0"),
+        "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+        "BSL-1.0": ("Boost Software License Version 1.0", "Boost Software License 1.0"),
+        "ISC": ("ISC License",),
+        "MIT": ("MIT License", "Expat License"),
+        "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License v 2.0", "Mozilla Public License 2.0"),
+    }
+    for name, titles in named.items():
+        out[name] = (*out.get(name, ()), *(f"{by} {t}" for t in titles for by in ("under", "under the", "under the terms of the", "under the conditions of the")))
+    for name, full, v in (("AGPL", "Affero General Public License", 3), ("GPL", "General Public License", 2), ("GPL", "General Public License", 3), ("LGPL", "Lesser General Public License", 3)):
+        out[f"{name}-{v}.0"] = tuple(f"GNU {full} {x}" for x in (f"version {v}", f"v{v}", f"v {v}", f"{v}.0")) + tuple(f"under {the}{x}" for the in ("", "the ", "the GNU ") for x in (f"{name}v{v}", f"{name} v{v}", f"{name} {v}.0", f"{name} version {v}"))
+    for parts, full in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-SA", "Attribution-ShareAlike")):
+        out[f"CC-{parts}-4.0"] = (f"CC {parts} 4.0", f"Creative Commons {full} 4.0", f"Creative Commons {parts} 4.0", f"creativecommons.org/licenses/{parts}/4.0")
+    for name in sorted(out)[1:]:
+        out[name] += (f"SPDX-License-Identifier: {name}",)
+    return out
+
+
+#: Each wording holds one of these word parts or begins with "CC BY" (checked when notices are looked for).
+NOTICE_KEYS = ("licen", "reserved", "gpl", "creative")
+#: Wordings found as whole word sequences, of any length: most have fewer words than a shingle.
+NOTICES = _wordings()
+
+
 @dataclass(frozen=True)
 class Template:
     name: str
@@ -87,7 +134,25 @@ def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
     return df.withColumn("bands", F.array(*[_minhash(F.col("_h"), i) for i in range(BANDS)])).drop("_h")
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def find_notices(docs: DataFrame, notices: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(doc_id, license, containment, n_words, word): every wording that a document holds word for word, at its first place."""
+    joined = lambda text: f" {' '.join(re.findall(r'[^\W_]+', text.lower()))} "
+    rows = sorted({(name, joined(x)) for name, texts in notices.items() for x in texts})
+    phrases = docs.sparkSession.createDataFrame(rows, "license string, _phrase string")
+    if missed := [x for _, x in rows if not any(k in x for k in NOTICE_KEYS) and not x.startswith(" cc by ")]:
+        raise ValueError(f"notices without a key word: {missed}")
+    held = F.lower("text").rlike(r"cc[^\p{L}\p{N}]+by")
+    for key in NOTICE_KEYS:
+        held = F.lower("text").contains(key) | held
+    w = docs.where(F.col("text").isNotNull() & held).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("_w"))
+    w = w.select("doc_id", F.size("_w").alias("n_words"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_t"))
+    hit = w.join(F.broadcast(phrases), F.contains("_t", "_phrase"))  # the fixed list
+    before = F.substring("_t", F.lit(1), F.instr("_t", F.col("_phrase")) - 1)
+    word = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    return hit.select("doc_id", "license", F.lit(1.0).alias("containment"), "n_words", word.alias("word"))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
     """(doc_id, license, containment, n_words, word): licenses that documents state, over whole texts.
 
     A document is cut into words (letters and digits, lower case) and five-word shingles. Overlapping windows as long
@@ -96,7 +161,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     shingles. Of templates found in one window the one contained best stays (ties to the smaller name). One row per
     document and license: its best containment, and the first word of the first window with it.
 
-    Null or empty texts and texts under five words state nothing. Repeated rows give repeated results only once per
+    Notices, which may be shorter than a shingle, are found word for word beside that (``find_notices``).
+
+    Null or empty texts state nothing, texts under five words only notices. Repeated rows give repeated results only once per
     doc_id; a null doc_id is a document like any other. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -114,23 +181,22 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     shingles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("_w", i + 1, SHINGLE), " "))
     base = words.select("doc_id", F.size("_w").alias("n_words"), at.alias("_at"), shingles.alias("_s")).where(F.size("_at") > 0)
     base = materialize(base.withColumn("_h", F.transform("_s", lambda s: F.xxhash64(s))), "license-shingles")
-    found = None
-    for window, stride in sorted({(t.window, t.stride) for t in compiled}):
-        mine = [t for t in compiled if (t.window, t.stride) == (window, stride)]
-        keys = refs.where(F.col("license").isin([t.name for t in mine])).select("license", "shingles", "n", "bands")
-        # windows start at multiples of the stride and hold an anchor word in one of their shingles
-        reach = window + SHINGLE - 2
-        first = lambda p: F.floor(F.greatest(p - reach, F.lit(0)) / stride)  # noqa: E731, B023
-        starts = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.transform(F.sequence(first(p), F.floor(p / stride)), lambda k: (k * stride).cast("int")))))
-        w = base.select("doc_id", "n_words", F.explode(starts).alias("word"), "_s", "_h").where(F.col("word") < F.size("_s"))
-        w = w.select("doc_id", "n_words", "word", F.slice("_s", F.col("word") + 1, window).alias("_ws"), F.slice("_h", F.col("word") + 1, window).alias("_wh"))
-        w = w.select("doc_id", "n_words", "word", "_ws", F.array(*[_minhash(F.col("_wh"), i) for i in range(BANDS)]).alias("_sig"))
-        hit = w.join(F.broadcast(keys), F.exists(F.arrays_zip("_sig", "bands"), lambda z: z["_sig"] == z["bands"]))  # the fixed template list
-        share = F.size(F.array_intersect("_ws", "shingles")) / F.col("n")
-        hit = hit.select("doc_id", "n_words", "word", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
-        found = hit if found is None else found.unionByName(hit)
+    # windows start at multiples of the stride and hold an anchor word in one of their shingles
+    first = lambda p, g: F.floor(F.greatest(p - (g["window"] + SHINGLE - 2), F.lit(0)) / g["stride"])
+    starts = lambda g: F.array_distinct(F.flatten(F.transform("_at", lambda p: F.transform(F.sequence(first(p, g), F.floor(p / g["stride"])), lambda k: (k * g["stride"]).cast("int")))))
+    shapes = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(s).alias("stride")) for w, s in sorted({(t.window, t.stride) for t in compiled})])
+    w = base.select("doc_id", "n_words", "_at", "_s", "_h", F.explode(shapes).alias("_g"))
+    w = w.select("doc_id", "n_words", F.explode(starts(F.col("_g"))).alias("word"), "_g", "_s", "_h").where(F.col("word") < F.size("_s"))
+    cut = lambda c: F.slice(c, F.col("word") + 1, F.col("_g.window"))
+    w = w.select("doc_id", "n_words", "word", F.col("_g.window").alias("_win"), F.col("_g.stride").alias("_str"), cut("_s").alias("_ws"), cut("_h").alias("_wh"))
+    w = w.select("doc_id", "n_words", "word", "_win", "_str", "_ws", F.array(*[_minhash(F.col("_wh"), i) for i in range(BANDS)]).alias("_sig"))
+    same = (F.col("_win") == F.col("window")) & (F.col("_str") == F.col("stride")) & F.exists(F.arrays_zip("_sig", "bands"), lambda z: z["_sig"] == z["bands"])
+    hit = w.join(F.broadcast(refs), same)  # the fixed template list
+    share = F.size(F.array_intersect("_ws", "shingles")) / F.col("n")
+    found = hit.select("doc_id", "n_words", "word", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
     best = found.groupBy("doc_id", "n_words", "word").agg(F.min(F.struct(-F.col("containment"), "license")).alias("_b"))
     best = best.select("doc_id", "n_words", "word", F.col("_b.license").alias("license"), (-F.col("_b.col1")).alias("containment"))
+    best = best.select("doc_id", "license", "containment", "n_words", "word").unionByName(find_notices(docs, notices))
     return best.groupBy("doc_id", "license").agg(F.min(F.struct(-F.col("containment"), "word", "n_words")).alias("_b")).select(
         "doc_id", "license", (-F.col("_b.col1")).alias("containment"), F.col("_b.n_words").cast("long").alias("n_words"), F.col("_b.word").cast("long").alias("word")
     )

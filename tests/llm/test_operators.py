@@ -393,6 +393,24 @@ def test_templates_keep_the_guarantee():
         licenses.compile_templates({"x": "one two three four five six seven eight nine"})
 
 
+def test_short_notices_and_usual_wordings(spark):
+    stated = {
+        "All rights reserved.": "All-rights-reserved",
+        "Licensed under the MIT License": "MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "Made available under the terms of the Apache License, Version 2.0": "Apache-2.0",
+        "Distributed under the GNU GPL v3": "GPL-3.0",
+        "Used under CC BY-SA 4.0 here": "CC-BY-SA-4.0",
+        "This program is free software: you can redistribute it": "GNU-header-opening",
+        licenses.TEMPLATES["GPL-2.0-header"]: "GPL-2.0-header",
+    }
+    rows = [(i, f"one two -- {t}\nthree") for i, t in enumerate(stated)] + [(50, "ALL RIGHTS\nRESERVED"), (51, "overall rights reserved"), (52, "all rights, not reserved"), (None, "All rights reserved")]
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_words"], r["word"]) for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert {(i, name) for i, name in enumerate(stated.values())} <= set(got)
+    assert got[(0, "All-rights-reserved")] == (1.0, 6, 2) and got[(50, "All-rights-reserved")] == (1.0, 3, 0)
+    assert (None, "All-rights-reserved") in got and not {d for d, _ in got} & {51, 52}
+
+
 # 8 toxicity
 
 
