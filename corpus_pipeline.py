@@ -41,18 +41,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class; rows without a doc_id stay, repeated ones once.
+    """The document with the least doc_id of each near-duplicate class; rows without a doc_id stay, rows equal in id and text once.
 
-    The ids to drop are fewer than those to keep, so the anti-join has the smaller other side.
+    The ids to drop are fewer than those to keep, so the anti-join has the smaller other side. Different texts under one
+    doc_id are documents of their own: all but one of them go through the classes under an id that is not in use.
     """
-    classes = materialize(neardup.near_duplicates(docs), "pipeline-classes")
-    same = F.col("doc_id") == F.col("_id")
-    dropped = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
-    repeated = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    if repeated.take(1):
-        once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-        return docs.join(dropped.unionByName(repeated), same, "left_anti").unionByName(once)
-    return docs.join(dropped, same, "left_anti")
+    known = docs.where("doc_id is not null")
+    repeated = materialize(known.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "pipeline-repeated")
+    if not repeated.take(1):
+        dropped = materialize(neardup.near_duplicates(docs), "pipeline-classes").where("doc_id != class_id").select(F.col("doc_id").alias("_id"))
+        return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    texts = known.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_id"), digest.alias("_d")).distinct()
+    first = texts.groupBy(F.col("_id").alias("_f")).agg(F.min("_d").alias("_least"))
+    others = texts.join(first, F.col("_id") == F.col("_f")).where("_d != _least").select("_id", "_d")
+    ids = known.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    free, step = (ids["most"] + 1, 1) if ids["most"] < 2**62 else (ids["least"] - 1, -1)
+    others = materialize(others.withColumn("_key", F.lit(free) + F.lit(step) * F.monotonically_increasing_id()), "pipeline-same-id")
+    keyed = docs.join(others, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_d")), "left").withColumn("_row", F.coalesce("_key", "doc_id"))
+    keyed = keyed.select(*docs.columns, "_row")
+    keyed = materialize(keyed.where("_row is not null").dropDuplicates(["_row"]).unionByName(keyed.where("_row is null")), "pipeline-keyed")
+    classes = materialize(neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")), "pipeline-classes")
+    named = classes.join(others.select("_id", "_key"), F.col("doc_id") == F.col("_key"), "left").select(F.col("doc_id").alias("_r"), "class_id", F.coalesce("_id", "doc_id").alias("_id"))
+    kept = named.groupBy("class_id").agg(F.min(F.struct("_id", "_r")).alias("_k")).select(F.col("class_id").alias("_c"), F.col("_k._r").alias("_kept"))
+    dropped = named.join(kept, F.col("class_id") == F.col("_c")).where("_r != _kept").select("_r")
+    return keyed.join(dropped, F.col("_row") == F.col("_r"), "left_anti").select(*docs.columns)
 
 
 @stage
@@ -71,9 +84,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken (twice the size: two epochs)."""
-    mix = mixing.mix_sources(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
-    taken = mix.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    return docs.join(taken, F.col("doc_id") == F.col("_id")).select(*docs.columns, "size", "target", "taken")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    mix = mixing.mix_sources(rows, mixing.quality_weights(table(spark, sf_dir, "labels")), carry=("_row",))
+    taken = mix.where("taken > 0").select(F.col("_row").alias("_r"), F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("taken").alias("_taken"))
+    named = [F.col(f"_{x}").alias(x) for x in ("size", "target", "taken")]
+    return rows.join(taken, F.col("_row") == F.col("_r")).select(*docs.columns, *named)
 
 
 STAGES = [

@@ -65,10 +65,11 @@ def mix_sources(
     share: float = SHARE,
     max_epochs: float = MAX_EPOCHS,
     buckets: int = BUCKETS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
 
-    ``docs`` has doc_id, source and text; ``quality`` has (doc_id, w), absent documents weigh 1. A source's complete
+    Columns of ``docs`` named in ``carry`` are passed on beside these. ``docs`` has doc_id, source and text; ``quality`` has (doc_id, w), absent documents weigh 1. A source's complete
     epochs take all its documents; what is left of its target goes to documents in the order of the exponential
     key -ln(u)/w, up to the prefix sum of sizes that comes nearest to it. Only whole documents are taken.
 
@@ -78,7 +79,7 @@ def mix_sources(
     Null or empty text: size 0, taken 0. A null source is a source, the last one. Null doc_ids share one key.
     Repeated rows count as often as they occur. An empty table gives no rows. Other columns are ignored.
     """
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     if quality is not None:
         d = d.join(quality.select("doc_id", F.col("w").alias("_w")), "doc_id", "left")
     else:
@@ -86,7 +87,7 @@ def mix_sources(
     # 1 - exp(-key) orders as the exponential key does and lies in [0, 1)
     v = 1.0 - F.exp(F.log(uniform(F.col("doc_id"))) / F.coalesce("_w", F.lit(UNKNOWN)))
     key = -F.log(uniform(F.col("doc_id"))) / F.coalesce("_w", F.lit(UNKNOWN))
-    d = materialize(d.select("doc_id", "source", "size", key.alias("_key"), F.least(F.floor(v * buckets), F.lit(buckets - 1)).cast("int").alias("_b")), "mix")
+    d = materialize(d.select("doc_id", "source", "size", *carry, key.alias("_key"), F.least(F.floor(v * buckets), F.lit(buckets - 1)).cast("int").alias("_b")), "mix")
 
     in_bucket = d.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     per_source = source_targets(in_bucket.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
@@ -105,7 +106,7 @@ def mix_sources(
     plan = materialize(p.join(edge, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2"), "mix-plan")
 
     at = d.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    out = lambda picked: ("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + picked)).cast("long").alias("taken"))
+    out = lambda picked: (*carry, "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + picked)).cast("long").alias("taken"))
     at_edge = F.coalesce(F.col("_b") == F.col("_edge"), F.lit(False))
     whole = at.where(~at_edge).select(*out(F.when(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")), 1).otherwise(0) * F.when(F.col("_left") > 0, 1).otherwise(0)))
     w = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

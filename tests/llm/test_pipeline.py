@@ -71,6 +71,30 @@ def test_run_and_empty_input(spark, tmp_path):
         assert stage(spark, none, sf).count() == 0, name
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(31)
+    copied = words(rng, 80, 9000)
+    rows = [(i, words(rng, 60, 9000), f"s{i % 2}") for i in range(20)] + [(5000 + i, junk(rng, 80), "s0") for i in range(20)]
+    rows += [(None, words(rng, 60, 9000), "s0") for _ in range(15)]
+    rows += [(30, copied, "s1"), (31, copied, "s1"), (31, words(rng, 70, 9000), "s1"), (31, words(rng, 75, 9000), "s1"), (0, rows[0][1], "s0")]
+    documents(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in (*range(20), 30, 31)] + [(5000 + i, 0, 0) for i in range(20)]
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(rng, 40, 9000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = documents(spark, [r for r in rows if r[0] is None or r[0] < 5000], extra=False)
+    pairs = lambda out: Counter((r["doc_id"], r["text"]) for r in out)
+    want = Counter((d, t) for d, t in {r[:2] for r in rows} if (d is None or d < 5000) and (d, t) != (31, copied))
+    assert pairs(STAGES["near_dedup"](spark, clean, str(tmp_path)).collect()) == want
+
+    out = STAGES["mixing"](spark, clean, str(tmp_path)).collect()
+    mix = corpus_pipeline.mixing.mix_sources(clean, corpus_pipeline.mixing.quality_weights(spark.createDataFrame(labels, LABELS))).where("taken > 0").collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in out) == Counter((r["doc_id"], r["size"], r["taken"]) for r in mix)
+    assert [r for r in out if r["doc_id"] is None] and {r["text"] for r in out if r["doc_id"] == 31}
+
+    whole = {(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert [t for d, t in whole if d is None] and [t for d, t in whole if d == 31]
+
+
 def test_every_operator_is_registered():
     names = registered.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
