@@ -34,9 +34,9 @@ def initial(tok: DataFrame, k: int, seed: int = 42, key: str = "vec_id") -> Data
     return tok.sparkSession.createDataFrame([(i, r["e"]) for i, r in enumerate(rows)], "cid int, ce array<double>")
 
 
-def fit(tok: DataFrame, k: int, *, iters: int = 20, tolerance: float = 1e-6, empty: str = "keep", seed: int = 42) -> DataFrame:
+def fit(tok: DataFrame, k: int, *, iters: int = 100, tolerance: float = 1e-6, empty: str = "keep", seed: int = 42, key: str = "vec_id") -> DataFrame:
     """Spherical k-means; only the k centroids come to the driver after each step, so lineage does not grow."""
-    spark, c = tok.sparkSession, initial(tok, k, seed)
+    spark, c = tok.sparkSession, initial(tok, k, seed, key)
     for _ in range(iters):
         old = {r["cid"]: r["ce"] for r in c.collect()}
         rows = lloyd_step(tok, c, empty=empty).collect()

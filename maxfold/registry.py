@@ -539,7 +539,7 @@ def _(spark, d):
 @register("kmeans_fit")
 def _(spark, d):
     tok = tokens(spark, d)
-    return kmeans.fit(tok, plaid.CENTROIDS, iters=5)
+    return kmeans.fit(tok, plaid.CENTROIDS)
 
 
 @register("tac_kmeans_grouped")

@@ -78,6 +78,15 @@ def test_kmeans_is_unit_and_clamped(tok):
     assert len(got) == 3 and all(abs(np.linalg.norm(r["ce"]) - 1) < 1e-9 for r in got)
 
 
+def test_kmeans_fit_is_a_fixed_point(spark):
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    many = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, e array<double>").cache()
+    c = kmeans.fit(many, 8)
+    got, again = ({r["cid"]: r["ce"] for r in d.collect()} for d in (c, kmeans.lloyd_step(many, c)))
+    assert max(np.abs(np.subtract(got[i], again[i])).sum() for i in got) <= 1e-6
+
+
 def test_dense_search_and_graph(tok):
     s = dense.sentence_vectors(tok).cache()
     qs = s.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
