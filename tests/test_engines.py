@@ -87,6 +87,17 @@ def test_kmeans_fit_is_a_fixed_point(spark):
     assert max(np.abs(np.subtract(got[i], again[i])).sum() for i in got) <= 1e-6
 
 
+def test_ivf_recall_against_brute_force(spark, tmp_path):
+    from maxfold import registry
+
+    x = np.random.default_rng(8).normal(size=(1600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, r.tolist(), i % 5) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    truth, found = ({(r["qid"], r["doc_id"]) for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("dense_exact_topk", "ivf_search"))
+    assert len(truth & found) >= 0.9 * len(truth)
+
+
 def test_dense_search_and_graph(tok):
     s = dense.sentence_vectors(tok).cache()
     qs = s.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
