@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,33 +54,33 @@ def postings(assigned: DataFrame) -> DataFrame:
     return assigned.select("cid", "doc_id").distinct()
 
 
-def cluster_types(tok: DataFrame, budgets: DataFrame, *, iters: int = 50, seed: int = 0xCAFEBABE, rows: int = 20_000) -> DataFrame:
+def cluster_types(tok: DataFrame, budgets: DataFrame, *, iters: int = 50, seed: int = 0xCAFEBABE, tolerance: float = 1e-6) -> DataFrame:
     """(token_id, cid, ce): each token type clustered into its own kappa centroids (``budgets``: token_id, kappa).
 
-    A type is fitted on at most ``rows`` of its tokens in hash order, so a very frequent type fits one task.
+    All of a type's tokens take part: a step sums them per (token_id, cid) before the shuffle. A type stays as it is once
+    its centroids move no more; only centroids come to the driver.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("token_id").orderBy(hash_uniform(F.lit(str(seed)), F.col("vec_id").cast("string")), "vec_id")
-    d = tok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).join(budgets.select("token_id", "kappa"), "token_id")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(df.sort_values("_r")["e"].to_numpy()).astype(float)
-        k = int(min(df["kappa"].iloc[0], len(x)))
-        c = x[:k].copy()
-        for _ in range(iters):
-            near = (x @ c.T).argmax(1)
-            new = c.copy()
-            for j in range(k):
-                if (near == j).any():
-                    m = x[near == j].mean(0)
-                    new[j] = m / max(np.linalg.norm(m), 1e-9)
-            if np.abs(new - c).sum(1).max() <= 1e-6:
-                break
-            c = new
-        return pd.DataFrame({"token_id": int(df["token_id"].iloc[0]), "cid": range(k), "ce": list(c)})
-
-    return d.groupBy("token_id").applyInPandas(run, "token_id long, cid int, ce array<double>")
+    most = int(budgets.agg(F.max("kappa")).first()[0] or 0)
+    first = tok.select("token_id", "vec_id", "e").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    first = first.join(budgets.select("token_id", "kappa"), "token_id").where(F.col("_r") <= F.col("kappa"))
+    spark, schema = tok.sparkSession, "token_id long, cid int, ce array<double>"
+    done, moving = {}, {(r["token_id"], r["_r"] - 1): r["e"] for r in first.select("token_id", "_r", "e").collect()}
+    for _ in range(iters):
+        if not moving:
+            break
+        c = spark.createDataFrame([(t, j, e) for (t, j), e in moving.items()], schema)
+        sim = F.round(dot(F.col("e"), F.col("ce")), DIGITS)
+        near = tok.select("token_id", "vec_id", "e").join(checked_broadcast(c), "token_id")
+        near = near.groupBy("token_id", "vec_id").agg(F.max(F.struct(sim.alias("s"), (-F.col("cid")).alias("n"))).alias("_b"), F.first("e").alias("e"))
+        means = mean_by(near.select("token_id", (-F.col("_b.n")).alias("cid"), "e"), ["token_id", "cid"], "e", "m")
+        new = moving | {(r["token_id"], r["cid"]): r["m"] for r in means.collect()}
+        moved = {t for (t, j), e in new.items() if sum(abs(x - y) for x, y in zip(e, moving[t, j], strict=True)) > tolerance}
+        done |= {k: e for k, e in new.items() if k[0] not in moved}
+        moving = {k: e for k, e in new.items() if k[0] in moved}
+    return spark.createDataFrame([(t, j, e) for (t, j), e in (done | moving).items()], schema)
 
 
 def first_vectors(tok: DataFrame, budgets: DataFrame) -> DataFrame:

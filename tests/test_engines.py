@@ -98,6 +98,17 @@ def test_ivf_recall_against_brute_force(spark, tmp_path):
     assert len(truth & found) >= 0.9 * len(truth)
 
 
+def test_types_are_clustered_over_all_their_tokens(spark):
+    n = 20_600  # more than the 20,000 that one type was once cut to
+    angle = np.random.default_rng(9).uniform(0, 2 * np.pi, n)
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    many = spark.createDataFrame([(7, i, r.tolist()) for i, r in enumerate(x)], "token_id long, vec_id long, e array<double>").cache()
+    one = spark.createDataFrame([(7, 1)], "token_id long, kappa int")
+    got = kmeans.cluster_types(many, one).collect()
+    mean = x.mean(0) / np.linalg.norm(x.mean(0))
+    assert len(got) == 1 and np.abs(np.array(got[0]["ce"]) - mean).sum() < 1e-6
+
+
 def test_dense_search_and_graph(tok):
     s = dense.sentence_vectors(tok).cache()
     qs = s.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
