@@ -33,8 +33,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.count_tokens(tokens.token_stream(table(spark, sf_dir, "documents")))
-    return counts.where("complete").select("doc_id", "n_tokens")
+    return tokens.count_document_tokens(table(spark, sf_dir, "documents"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op10_chat": chat.CHAT_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op7_licenses": licenses.license_sql(), "op10_chat": chat.CHAT_SQL}
