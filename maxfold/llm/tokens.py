@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import small_arrow_batches
+from ._common import fresh_path, materialize, small_arrow_batches
 
 EOD = 50256
-BLOCK = 1 << 16
-BLOCK_SCHEMA = "file_id string, block long, payload binary, doc_ids array<long>"
+#: Bytes of a file that one row of ranges stands for, and that a worker reads and searches at once.
+RANGE = 1 << 22
+#: Ranges of a file that share one level of the prefix scan.
+FAN = 1024
+#: Schemes of stores whose files Python workers can open and read by byte range (add "hdfs" where workers have libhdfs).
+#: Files of any other are read whole by Spark, 2 GB at most each.
+RANGED = ("file", "s3", "gs")
 
 
 def _encoder(vocabulary: str | None):
@@ -30,104 +36,128 @@ def _encoder(vocabulary: str | None):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_stream(docs: DataFrame, *, vocabulary: str | None = None, eod: int = EOD, block: int = BLOCK) -> DataFrame:
-    """Tokenise documents into flat token files, one per input split, cut into blocks: (file_id, block, payload, doc_ids).
+def tokenise(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids): little-endian 16-bit ids of each text; a null text is empty.
 
-    A payload is up to ``block`` little-endian 16-bit ids, cut without regard to documents; each document ends with
-    ``eod``. ``doc_ids`` names, in order, the documents whose separators lie in the block. A null text is empty.
     ``vocabulary`` is the path of a rank file, by default that of the installed public tokenizers.
     """
     small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        encoder = _encoder(vocabulary)
+        for batch in batches:
+            ids = [np.array(encoder.encode_ordinary(t or ""), "<u2").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-        encoder, file_id = _encoder(vocabulary), f"part-{TaskContext.get().partitionId():05d}"
-        held: list[np.ndarray] = []
-        n_held, ids, number = 0, [], 0
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
-        def row(stream: np.ndarray, names: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file_id]), pa.array([number], pa.int64()), pa.array([stream.astype("<u2").tobytes()], pa.binary()), pa.array([names], pa.list_(pa.int64()))], names=["file_id", "block", "payload", "doc_ids"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(np.append(np.array(encoder.encode_ordinary(text or ""), np.uint16), np.uint16(eod)))
-                n_held += len(held[-1])
-                ids.append((doc_id, n_held - 1))
-                if n_held >= block:
-                    stream = np.concatenate(held)
-                    whole = n_held // block * block
-                    k = 0
-                    for start in range(0, whole, block):
-                        names = []
-                        while k < len(ids) and ids[k][1] < start + block:
-                            names.append(ids[k][0])
-                            k += 1
-                        yield row(stream[start : start + block], names)
-                        number += 1
-                    held, n_held, ids = [stream[whole:]], n_held - whole, [(d, p - whole) for d, p in ids[k:]]
-        if n_held:
-            yield row(np.concatenate(held), [d for d, _ in ids])
-
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
-
-
-def read_token_files(spark: SparkSession, path: str, *, block: int = BLOCK, width: int = 2) -> DataFrame:
-    """Flat files of fixed-width ids as blocks (file_id, block, payload, doc_ids); doc_ids is null, the files name none.
-
-    A file of a shard is read whole by one task, so keep shards to some hundred MB.
-    """
-    step = block * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content", "length")
-    cuts = files.where("length > 0").select("file_id", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
-    return cuts.select("file_id", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("payload"), F.lit(None).cast("array<long>").alias("doc_ids"))
+def write_token_files(tokens: DataFrame, path: str, *, eod: int = EOD) -> None:
+    """Flat files of 16-bit ids, one per partition of ``tokens`` (ids), each document ended by ``eod``; nothing else is in them."""
+    end = int(eod).to_bytes(2, "little").decode("latin-1")  # the sink's row separator
+    tokens.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
 
 
-def scan_blocks(blocks: DataFrame, *, eod: int = EOD, dtype: str = "<u2") -> DataFrame:
-    """What each block tells: (file_id, block, n, head, tail, inner, doc_ids).
+def _search(raw: np.ndarray, eod: int) -> tuple[int, int, int, np.ndarray]:
+    """(separators, place of the first, of the last, lengths between) of a run of ids; places are -1 where there is none."""
+    at = np.flatnonzero(raw == eod)
+    return (len(at), int(at[0]), int(at[-1]), np.diff(at) - 1) if len(at) else (0, -1, -1, np.zeros(0, np.int64))
 
-    ``head`` is the tokens before the first separator and ``tail`` those after the last; both are null, and ``n`` is
-    carried whole, where a block has none. ``inner`` has the lengths between separators.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, head, tail, inner = [], [], [], []
-            for payload in batch.column(2):
-                ids = np.frombuffer(payload.as_buffer(), dtype)
-                at = np.flatnonzero(ids == eod)
-                n.append(len(ids))
-                head.append(int(at[0]) if len(at) else None)
-                tail.append(len(ids) - 1 - int(at[-1]) if len(at) else None)
-                inner.append(np.diff(at) - 1)
-            lengths = pa.array([x.astype(np.int64) for x in inner], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), lengths, batch.column(3)], names=["file_id", "block", "n", "head", "tail", "inner", "doc_ids"])
-
-    return blocks.select("file_id", "block", "payload", "doc_ids").mapInArrow(run, "file_id string, block long, n long, head long, tail long, inner array<long>, doc_ids array<long>")
-
-
-def count_tokens(blocks: DataFrame, *, eod: int = EOD, dtype: str = "<u2") -> DataFrame:
-    """Tokens of each document, separator excluded: (file_id, ordinal, doc_id, n_tokens, complete).
-
-    Blocks are searched alone; a prefix scan over the block summaries of a file gives what a document that began in
-    earlier blocks already has. Tokens after a file's last separator are a last document with ``complete`` false.
-    An empty document counts 0. ``doc_id`` is null where the blocks name none. Order within a file is that of
-    ``block``; blocks of several files may come in any order. No blocks give no rows.
+SCAN = "file_id string, block long, n long, seps long, first long, last long, inner array<long>"
+
+
+def scan_files(spark: SparkSession, path: str, *, eod: int = EOD, dtype: str = "<u2", step: int = RANGE, ranged: tuple[str, ...] = RANGED) -> DataFrame:
+    """What each byte range of the files tells: (file_id, block, n, seps, first, last, inner).
+
+    ``n`` ids from place block * step / width on; ``first`` and ``last`` are the absolute places of separators, ``inner``
+    the lengths between them. Only these leave the worker, which reads its range and searches it at once. Bytes after a
+    file's last whole id are ignored.
+    """
+    width = np.dtype(dtype).itemsize
+    step = max(width, step // width * width)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    scheme = re.match(r"(?:([a-zA-Z][\w+.-]*):)?", path)[1] or spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+
+    def rows(name: str, first_block: int, blocks) -> Iterator[tuple]:
+        for i, raw in enumerate(blocks):
+            ids = np.frombuffer(raw, dtype, len(raw) // width)
+            seps, first, last, inner = _search(ids, eod)
+            base = (first_block + i) * (step // width)
+            yield name, first_block + i, len(ids), seps, base + first, base + last, inner
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["file_id", "block", "n", "seps", "first", "last", "inner"])
+
+    if scheme not in ranged:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    raw = content.as_buffer()
+                    for row in rows(name, 0, (raw[a : a + step] for a in range(0, len(raw), step))):
+                        yield batch([row])
+
+        small_arrow_batches(spark, 8)
+        return files.select("path", "content").where("length > 0").mapInArrow(whole, SCAN)
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for name, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store, inside = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(inside) as f:
+                    yield batch(list(rows(name, block, [f.read_at(step, block * step)])))
+
+    cuts = files.select("path", "length").where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
+    return cuts.repartition("path", "block").mapInArrow(by_range, SCAN)
+
+
+def count_tokens(scan: DataFrame) -> DataFrame:
+    """Tokens of each document, separator excluded: (file_id, ordinal, n_tokens, complete).
+
+    Ranges are searched alone (scan_files). A prefix scan over them, of the last separator's place and of their number,
+    says where the first document of a range began and how many came before. It has two levels, FAN ranges to one, so
+    that a file of any size is many tasks. Tokens after a file's last separator are a last document with ``complete``
+    false. An empty document counts 0. Ranges may come in any order; none give no rows.
+    """
+    s = materialize(scan.withColumn("_top", F.floor(F.col("block") / FAN)), "token-ranges")
+    slim = s.select("file_id", "_top", "block", "n", "seps", F.when(F.col("seps") > 0, F.col("last")).alias("last"))
+    over = lambda w, c, f: F.coalesce(f(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1 if f is F.max else 0))
+    tops = slim.groupBy("file_id", "_top").agg(F.max("last").alias("last"), F.sum("seps").alias("seps"), F.sum("n").alias("n"))
+    high = Window.partitionBy("file_id").orderBy("_top")
+    before = tops.select("file_id", "_top", over(high, "last", F.max).alias("_last"), over(high, "seps", F.sum).alias("_seps"))
+    low = Window.partitionBy("file_id", "_top").orderBy("block")
+    at = slim.join(before, ["file_id", "_top"]).select("file_id", "block", F.greatest("_last", over(low, "last", F.max)).alias("_open"), (F.col("_seps") + over(low, "seps", F.sum)).alias("_base"))
+    d = s.where("seps > 0").join(at, ["file_id", "block"])
+    done = d.select("file_id", "_base", F.posexplode(F.concat(F.array(F.col("first") - F.col("_open") - 1), "inner")).alias("_i", "n_tokens"))
+    done = done.select("file_id", (F.col("_base") + F.col("_i")).alias("ordinal"), "n_tokens", F.lit(True).alias("complete"))
+    ends = tops.groupBy("file_id").agg(F.sum("seps").alias("ordinal"), (F.sum("n") - 1 - F.coalesce(F.max("last"), F.lit(-1))).alias("n_tokens"))
+    return done.unionByName(ends.where("n_tokens > 0").select("file_id", "ordinal", "n_tokens", F.lit(False).alias("complete")))
+
+
+def count_document_tokens(docs: DataFrame, *, vocabulary: str | None = None, eod: int = EOD) -> DataFrame:
+    """(doc_id, n_tokens) of every row, counted in flat token files that are written to the shared folder first.
+
+    The files hold nothing but ids and separators. Which document is which in a file is known by its place: the files
+    are written from a table of tokens, one per partition and in its order, and a second look at that table numbers its
+    rows. Both must agree in the number of documents of each file, else the query fails.
+
+    A null or empty text counts 0; rows without an id and repeated rows each get their result; an empty table gives no
+    rows; other columns are ignored. A text that holds ``eod`` as a token is not possible: plain text encodes to none.
     """
-    s = scan_blocks(blocks, eod=eod, dtype=dtype)
-    so_far = Window.partitionBy("file_id").orderBy("block")
-    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file_id")
-    # _seg: separator-bearing blocks before this one; a block's carry is what came since the last of them
-    s = s.withColumn("_seg", F.coalesce(F.sum(F.col("head").isNotNull().cast("int")).over(before), F.lit(0)))
-    in_seg = Window.partitionBy("file_id", "_seg").orderBy("block")
-    s = s.withColumn("_left", F.coalesce("tail", F.lit(0))).withColumn("_plain", F.when(F.col("head").isNull(), F.col("n")).otherwise(0))
-    s = s.withColumn("_open", F.coalesce(F.lag("_left").over(so_far), F.lit(0)))
-    s = s.withColumn("_carry", F.first("_open").over(in_seg) + F.coalesce(F.sum("_plain").over(in_seg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("_seps", F.when(F.col("head").isNull(), 0).otherwise(F.size("inner") + 1))
-    s = s.withColumn("_base", F.coalesce(F.sum("_seps").over(before), F.lit(0))).withColumn("_last", F.col("block") == F.max("block").over(whole))
-    done = s.where("head is not null").select("file_id", "_base", "doc_ids", F.posexplode(F.concat(F.array(F.col("_carry") + F.col("head")), "inner")).alias("_i", "n_tokens"))
-    done = done.select("file_id", (F.col("_base") + F.col("_i")).cast("long").alias("ordinal"), F.expr("get(doc_ids, _i)").alias("doc_id"), "n_tokens", F.lit(True).alias("complete"))
-    open_ = F.when(F.col("head").isNull(), F.col("_carry") + F.col("n")).otherwise(F.col("tail"))
-    rest = s.where("_last").select("file_id", (F.col("_base") + F.col("_seps")).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("doc_id"), open_.alias("n_tokens"), F.lit(False).alias("complete")).where("n_tokens > 0")
-    return done.unionByName(rest)
+    spark = docs.sparkSession
+    tokens = materialize(tokenise(docs, vocabulary=vocabulary), "tokens")
+    path = fresh_path(spark, "token-files")
+    write_token_files(tokens, path, eod=eod)
+    number = lambda c: F.shiftright(c, 33).cast("int")
+    rows = tokens.select("doc_id", F.monotonically_increasing_id().alias("_id"))
+    rows = materialize(rows.select("doc_id", number(F.col("_id")).alias("_file"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal")), "token-rows")
+    counts = materialize(count_tokens(scan_files(spark, path, eod=eod)), "token-counts")
+    counts = counts.withColumn("_file", F.regexp_extract("file_id", r"part-(\d+)-[^/]*$", 1).cast("int")).select("_file", "ordinal", "n_tokens", "complete")
+    both = rows.withColumn("_row", F.lit(True)).join(counts, ["_file", "ordinal"], "full")
+    same = F.col("_row") & F.col("complete")
+    wrong = F.raise_error(F.concat(F.lit("token file "), F.col("_file").cast("string"), F.lit(" and its table differ at document "), F.col("ordinal").cast("string")))
+    return both.select("doc_id", F.when(same, F.col("n_tokens")).otherwise(wrong.cast("long")).alias("n_tokens"))
