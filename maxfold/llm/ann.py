@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Centroids of each half; a fitted index has CENTROIDS ** 2 cells.
-CENTROIDS = 24
+#: Rows to a cell on average; sqrt(rows / CELL_ROWS) centroids of each half, and a fortieth of the sample at most.
+CELL_ROWS = 128
 #: Rows that the codebooks are fitted on, taken in hash order (64-d: 10 MB on the driver).
 SAMPLE = 20_000
-#: A query's cells hold the share of the rows that gives this recall within the sample, and MIN_CANDIDATES rows at least.
-RECALL, MIN_CANDIDATES = 0.96, 400
-#: Sample rows that serve as queries when the share is found.
-TUNING = 300
+#: A query's cells hold as many rows as give this recall for TUNING rows of the sample, and MIN_CANDIDATES at least.
+RECALL, MIN_CANDIDATES, TUNING = 0.96, 400, 300
 #: Rows of a cell, and queries that visit it, that one task compares at once.
 ROWS, QUERIES = 8192, 4096
 
@@ -58,36 +56,48 @@ def cell_order(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, enough: int) -
     return out
 
 
-def share_for(recall: float, d1: np.ndarray, d2: np.ndarray, u: np.ndarray, k: int, queries: int) -> float:
-    """The share of the rows that the visited cells must hold so that ``recall`` of the k nearest lie in them.
+def rows_before(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How many rows a query visits before it reaches each of ``cells``, going by summed half distances."""
+    order = np.argsort((d1[:, None] + d2[None, :]).ravel(), kind="stable")
+    before = np.empty(len(order))
+    before[order] = np.cumsum(sizes[order]) - sizes[order]
+    return before[cells]
 
-    ``d1`` and ``d2`` are the half distances of the sample's unit vectors ``u``; its first rows are the queries.
-    """
-    cell = d1.argmin(1) * d2.shape[1] + d2.argmin(1)
-    sizes = np.bincount(cell, minlength=d1.shape[1] * d2.shape[1])
-    needs = []
-    for i in range(min(queries, len(u))):
-        near = u @ u[i]
-        near[i] = -np.inf
-        nearest = np.argpartition(-near, min(k, len(u) - 1))[:k]
-        order = np.argsort((d1[i][:, None] + d2[i][None, :]).ravel(), kind="stable")
-        before = np.empty(len(order))
-        before[order] = np.cumsum(sizes[order]) - sizes[order]
-        needs += before[cell[nearest]].tolist()
-    return float(np.quantile(needs, recall) + 1) / len(u) if needs else 1.0
+
+def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
+    """Vectors as rows of one matrix, cut or filled with zeros to ``width``."""
+    if vectors and all(len(v) == width for v in vectors):
+        return np.stack(vectors).astype(np.float64, copy=False)
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v[:width]
+    return out
+
+
+def norms(vectors: list[np.ndarray]) -> np.ndarray:
+    """Lengths; those of vectors of one dimension are summed alike wherever they are."""
+    dims = np.array([len(v) for v in vectors])
+    out = np.zeros(len(vectors))
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        out[at] = np.sqrt((np.stack([vectors[i] for i in at]).astype(np.float64) ** 2).sum(1))
+    return out
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _units(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows over their length, cut or filled to ``width``."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    v = [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return padded(v, width) / norms(v)[:, None] if v else np.zeros((0, width))
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): one row per id, double components; see nearest() for what takes no part."""
+    """(vec_id, v): distinct rows, double components; see nearest() for what takes no part."""
     v = F.col("embedding").cast("array<double>")
     clean = embeddings.where("vec_id is not null").select("vec_id", v.alias("v")).where(F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     clean = clean.where(finite & F.exists("v", lambda x: x != 0))
-    return clean.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return clean.distinct()
 
 
 def nearest(
@@ -95,95 +105,142 @@ def nearest(
     *,
     k: int = 5,
     query_every: int = 50,
-    centroids: int = CENTROIDS,
+    cell_rows: int = CELL_ROWS,
     sample: int = SAMPLE,
     recall: float = RECALL,
     min_candidates: int = MIN_CANDIDATES,
 ) -> DataFrame:
-    """The k nearest rows by cosine of each row whose vec_id is divisible by ``query_every``: (query_id, rank, vec_id, score).
+    """The k nearest rows by cosine of each row whose vec_id is divisible by ``query_every``: (query_id, rank, vec_id, score, compared).
 
     Both halves of the unit vectors are quantised by their own codebook, fitted on a bounded sample; every row is
-    indexed in the cell of its centroid pair. A query visits cells in the order of summed half distances, by a heap,
-    until they hold the share of all rows that gave ``recall`` within the sample, and its candidates there are ranked by the exact cosine of the original
-    vectors in double precision; ties go to the smaller vec_id.
+    indexed in the cell of its centroid pair, cells growing in number with the rows. A query visits cells in the order
+    of summed half distances, by a heap, until they hold enough rows, and its candidates there (``compared`` of them) are
+    ranked by the exact cosine of the original vectors in double precision; ties go to the smaller vec_id. Enough is what
+    TUNING queries needed, whose nearest rows were found by brute force among all rows, for ``recall`` of these to lie in
+    the cells; and min_candidates at least.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is not
-    the commonest one (ties: the longer), nor rows without a vec_id. Of rows that share a vec_id the least vector
-    counts. A query with fewer than k other rows gets them all. An empty table gives no rows; other columns are
-    ignored.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor rows without a vec_id. A vector
+    shorter than another counts as filled with zeros (cells are chosen by the commonest length). Equal rows are one; of
+    different vectors under one vec_id, as query or candidate, the nearest pair counts. A query with fewer than k other
+    ids gets them all. An empty table gives no rows; other columns are ignored.
 
     A cell is compared in blocks of ROWS rows by QUERIES queries, so a cell that holds a third of all rows is many
-    tasks; of each block only k rows per query are shuffled. Cell sizes and visits (centroids ** 2 numbers) are the
-    only things collected.
+    tasks; of each block only k rows per query are shuffled. Cell sizes and visits (at most (sample / 40) ** 2 numbers)
+    are the only things collected.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, compared long"
     spark = embeddings.sparkSession
     rows = materialize(usable_vectors(embeddings), "ann-rows")
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not sizes:
+    lengths = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().collect()}
+    if not lengths:
         return spark.createDataFrame([], schema)
-    dim, n = sizes[0]["dim"], sizes[0]["count"]
-    rows = rows.where(F.size("v") == dim)
+    dim, n = max(lengths, key=lambda d: (lengths[d], d)), sum(lengths.values())
     half = max(1, dim // 2)
-    fit = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
-    fit /= np.linalg.norm(fit, axis=1, keepdims=True)
+    some = [np.array(r["v"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").collect()]
+    fit = padded(some, dim) / norms(some)[:, None]
+    centroids = int(np.clip(np.sqrt(n / cell_rows), 2, max(2, sample // 40)))
     c1 = kmeans(fit[:, :half], centroids)
     c2 = kmeans(fit[:, half:], centroids) if dim > half else np.zeros((1, 0))
 
     def distances(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return ((u[:, None, :half] - c1) ** 2).sum(2), ((u[:, None, half:] - c2) ** 2).sum(2)
+        parts = ((u[:, :half], c1), (u[:, half:], c2))
+        return tuple(np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0) for x, c in parts)
 
-    share = share_for(recall, *distances(fit), fit, k, TUNING)
+    def cells_of(u: np.ndarray) -> np.ndarray:
+        d1, d2 = distances(u)
+        return d1.argmin(1) * len(c2) + d2.argmin(1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = _rows(b.column(1))
-            d1, d2 = distances(u / np.linalg.norm(u, axis=1, keepdims=True)) if len(u) else (np.zeros((0, 1)),) * 2
-            cell = d1.argmin(1) * len(c2) + d2.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], names=["vec_id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells_of(_units(b.column(1), dim)).astype(np.int32))], names=["vec_id", "v", "cell"])
 
     index = materialize(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, cell int"), "ann-index")
     held = np.zeros(len(c1) * len(c2), np.int64)
     for r in index.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
-    enough = max(int(np.ceil(share * n)), min_candidates, k + 1)
+    enough = max(_needed(index, fit[:TUNING], held, distances, dim, k, recall), min_candidates, k + 1)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = _rows(b.column(1))
-            if len(u):
-                d1, d2 = distances(u / np.linalg.norm(u, axis=1, keepdims=True))
-                cells = [cell_order(x, y, held, enough) for x, y in zip(d1, d2, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "q", "cells"])
+            d1, d2 = distances(_units(b.column(1), dim))
+            cells = [cell_order(x, y, held, enough) for x, y in zip(d1, d2, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "q", "cells"])
 
     queries = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").mapInArrow(traverse, "query_id long, q array<double>, cells array<int>")
     queries = materialize(queries, "ann-queries")
     visits = np.zeros_like(held)
     for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
         visits[r["cell"]] = r["count"]
-    grid = [(i, int(-(-h // ROWS)), int(max(1, -(-v // QUERIES)))) for i, (h, v) in enumerate(zip(held, visits, strict=True)) if h]
-    grid = F.broadcast(spark.createDataFrame(grid, "cell int, nr int, nq int"))  # centroids ** 2 rows
-    blocks = index.join(grid, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "nr").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "vec_id", "v")
+    grid = [(i, int(-(-h // ROWS)), int(max(1, -(-v // QUERIES)))) for i, (h, v) in enumerate(zip(held.tolist(), visits.tolist(), strict=True)) if h and v]
+    grid = F.broadcast(spark.createDataFrame(grid, "cell int, nr int, nq int"))  # at most (sample / 40) ** 2 rows
+    blocks = index.join(grid, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "v"), "nr").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "vec_id", "v")
     asked = queries.select("query_id", F.col("q").alias("v"), F.explode("cells").alias("cell")).join(grid, "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("q"), "query_id", "v")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.pmod(F.xxhash64("query_id", "v"), "nq").cast("int").alias("q"), "query_id", "v")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "vec_id": [], "score": [], "compared": []}
         if len(x) and len(y):
-            ids, v, q = x["vec_id"].to_numpy(), np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
-            nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-            near = (q / nq[:, None]) @ (v / nv[:, None]).T
+            ids, vs, qs = x["vec_id"].to_numpy(), list(x["v"]), list(y["v"])
+            width = max(map(len, qs))
+            v, nv, nq = padded(vs, width), norms(vs), norms(qs)
+            near = (padded(qs, width) / nq[:, None]) @ (v / nv[:, None]).T
             for i, query in enumerate(y["query_id"].to_numpy()):
-                s = np.where(ids == query, -np.inf, near[i])
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                picked = np.flatnonzero((s >= least - 1e-9) & np.isfinite(s))
-                exact = (v[picked] * q[i]).sum(1) / (nv[picked] * nq[i])  # the same sum in every block: equal vectors tie
-                best = np.lexsort((ids[picked], -exact))[:k]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += ids[picked[best]].tolist()
-                out["score"] += exact[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = blocks.groupBy("cell", "r", "q").cogroup(asked.groupBy("cell", "r", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
+                q, s = qs[i], np.where(ids == query, -np.inf, near[i])
+                picked, wanted = np.flatnonzero(np.isfinite(s)), k
+                compared = len(picked)
+                while True:  # more rows, where ids of several vectors fill the first places
+                    if compared > wanted:
+                        picked = np.flatnonzero(s >= np.partition(s, -wanted)[-wanted] - 1e-9)
+                        picked = picked[np.isfinite(s[picked])]
+                    if compared <= wanted or len(set(ids[picked].tolist())) >= k:
+                        break
+                    picked, wanted = np.flatnonzero(np.isfinite(s)), 4 * wanted
+                exact = (v[picked][:, : len(q)] * q).sum(1) / (nv[picked] * nq[i])  # the same sum in every block: equal vectors tie
+                best, seen = [], set()
+                for j in np.lexsort((ids[picked], -exact)).tolist():
+                    if ids[picked[j]] not in seen:
+                        seen.add(ids[picked[j]])
+                        best.append(j)
+                        if len(best) == k:
+                            break
+                out["query_id"] += [query] * max(1, len(best))
+                out["vec_id"] += [*ids[picked[best]].tolist()] or [-1]
+                out["score"] += [*exact[best].tolist()] or [-np.inf]
+                out["compared"] += [compared] + [0] * (max(1, len(best)) - 1)
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "compared": "int64"})
+
+    found = blocks.groupBy("cell", "r", "q").cogroup(asked.groupBy("cell", "r", "q")).applyInPandas(compare, "query_id long, vec_id long, score double, compared long")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("compared").alias("_c"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("compared", F.sum("_c").over(Window.partitionBy("query_id"))).where(F.col("score") > float("-inf"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
+
+
+def _needed(index: DataFrame, units: np.ndarray, held: np.ndarray, distances, dim: int, k: int, recall: float) -> int:
+    """Rows that a query must visit: the ``recall`` quantile over the true k nearest of ``units`` among all rows.
+
+    One pass over the index; each batch passes on its k nearest to each unit vector, with their cells.
+    """
+    near = index.sparkSession.sparkContext.broadcast(units)  # TUNING rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, cells = np.full((len(units), 0), 0.0), np.zeros((len(units), 0), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = near.value @ _units(b.column(0), dim).T
+            scores = np.concatenate([scores, s], 1)
+            cells = np.concatenate([cells, np.broadcast_to(b.column(1).to_numpy(), s.shape)], 1)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+            scores, cells = np.take_along_axis(scores, top, 1), np.take_along_axis(cells, top, 1)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), scores.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(scores.ravel()), pa.array(cells.ravel(), pa.int32())], names=["unit", "score", "cell"])
+
+    w = Window.partitionBy("unit").orderBy(F.desc("score"), "cell")
+    top = index.select("v", "cell").mapInArrow(best, "unit int, score double, cell int").withColumn("_r", F.row_number().over(w))
+    truth: dict[int, list[int]] = {}
+    for r in top.where((F.col("_r") > 1) & (F.col("_r") <= k + 1)).collect():  # the first is the vector itself
+        truth.setdefault(r["unit"], []).append(r["cell"])
+    d1, d2 = distances(units)
+    needs = [x for i, cells in truth.items() for x in rows_before(d1[i], d2[i], held, np.array(cells)).tolist()]
+    return int(np.quantile(needs, recall)) + 1 if needs else 0
