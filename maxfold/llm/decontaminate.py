@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from ._common import small_arrow_batches
 
 #: Edits allowed per character of a test item.
 ERROR_RATE = 0.08
-#: Shorter items (normalised) take no part: they occur by chance.
+#: Shorter items (normalised) occur by chance inside words and with edits: they are matched exactly, at word borders.
 MIN_CHARS = 16
 #: Characters of benchmark text that one automaton holds; a larger benchmark is searched in parts.
 PART_CHARS = 20_000_000
@@ -58,17 +59,30 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
+def find_word(text: str, word: str) -> int:
+    """Where ``word`` first stands in ``text`` with no letter or digit of the text running on into it; -1 if nowhere."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        joined = (at > 0 and text[at - 1].isalnum() and word[0].isalnum()) or (end < len(text) and text[end].isalnum() and word[-1].isalnum())
+        if not joined:
+            return at
+        at = text.find(word, at + 1)
+    return -1
+
+
 class Matcher:
-    """An automaton over the pieces of all items."""
+    """An automaton over the pieces of all items; one of fewer than ``min_chars`` characters is a piece by itself."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
         by_piece: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.items = items
+        self.short = [len(t) < min_chars for _, t in items]
         self.budget = [int(len(t) * rate) for _, t in items]
         for k, (_, text) in enumerate(items):
-            for offset, piece in pieces(text, rate):
+            for offset, piece in [(0, text)] if self.short[k] else pieces(text, rate):
                 by_piece[piece].append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in by_piece.items():
@@ -85,9 +99,10 @@ class Matcher:
         out = []
         for k, at in starts.items():
             item_id, item = self.items[k]
-            found = t.find(item)
+            found = find_word(t, item) if self.short[k] else t.find(item)
             if found >= 0:
                 out.append((item_id, 0, found + len(item)))
+            if found >= 0 or self.short[k]:
                 continue
             e, best = self.budget[k], None
             at.sort()
@@ -113,12 +128,14 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str, *, rate: floa
     An item occurs where a substring of the normalised text (lower case, runs of white space as one space) is within
     ``rate`` edits per character. The item is cut into budget + 1 pieces, one of which any such occurrence keeps
     intact; exact piece hits, found in one pass over the whole text, give windows in which Myers' algorithm measures
-    the distance. Distance and end are those of the nearest occurrence, the first of equal ones.
+    the distance. Distance and end are those of the nearest occurrence, the first of equal ones. An item of fewer than
+    ``min_chars`` characters occurs where it stands exactly, at word borders.
 
     One narrow pass, no shuffle. The benchmark is collected, in parts of PART_CHARS characters where it is larger, each
-    of which adds a pass. Null or empty texts hold nothing. Items that are null, have no id, or are shorter than
-    ``min_chars`` after normalising take no part; repeated items are reported once per id. Repeated rows each get
-    their result; all columns of ``docs`` pass through, whatever their names. An empty benchmark gives empty arrays.
+    of which adds a pass. Null or empty texts hold nothing. Items that are null, empty after normalising, or have no id
+    take no part; repeated items are reported once per id, and different texts under one id by the nearest. Repeated
+    rows each get their result; all columns of ``docs`` pass through, whatever their names (one named ``column`` is not
+    accepted). An empty benchmark gives empty arrays.
     """
     if column in docs.columns:
         raise ValueError(f"the documents already have a column {column}")
@@ -129,18 +146,29 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str, *, rate: floa
     out = docs.withColumn(column, F.array().cast(LEAKS))
     for part in range(parts):
         mine = b.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        items = sorted({(r["item_id"], t) for r in mine.toLocalIterator() if len(t := normalise(r["text"])) >= min_chars})
+        items = sorted({(r["item_id"], t) for r in mine.toLocalIterator() if (t := normalise(r["text"]))})
         if items:
-            out = _one_part(out, column, items, rate)
+            out = _one_part(out, column, items, rate, min_chars)
     return out
 
 
-def _one_part(docs: DataFrame, column: str, items: list[tuple[int, str]], rate: float) -> DataFrame:
+#: The matcher that a Python worker made last, by the broadcast it was made from: the tasks of a worker share it.
+_made: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items, rate: float, min_chars: int) -> Matcher:
+    if name not in _made:
+        _made.clear()
+        _made[name] = Matcher(items.value, rate, min_chars)
+    return _made[name]
+
+
+def _one_part(docs: DataFrame, column: str, items: list[tuple[int, str]], rate: float, min_chars: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)  # PART_CHARS characters at most
-    text, leaks = docs.columns.index("text"), docs.columns.index(column)
+    text, leaks, made_from = docs.columns.index("text"), docs.columns.index(column), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate)
+        matcher = _matcher(made_from, sent, rate, min_chars)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             found = []
