@@ -62,21 +62,37 @@ class BoostedTrees:
             score += self.leaves[t][node]
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Log-odds."""
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
+    def leaf_ids(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees): the leaf of each tree in which a row ends."""
+        out, rows = np.empty((len(x), self.trees), np.uint8), np.arange(len(x))
         for t in range(self.trees):
             node = np.zeros(len(x), np.int64)
             for level in range(self.depth):
                 at = 2**level - 1 + node
                 node = 2 * node + (x[rows, self.features[t, at]] > self.cuts[t, at])
-            out += self.leaves[t][node]
+            out[:, t] = node
+        return out
+
+    def at_leaves(self, ids: np.ndarray) -> np.ndarray:
+        """Log-odds of rows given by leaf_ids()."""
+        out = np.full(len(ids), self.base)
+        for t in range(self.trees):
+            out += self.leaves[t][ids[:, t]]
         return out
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds."""
+        return self.at_leaves(self.leaf_ids(x))
+
+    def leaf_sums(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """(trees, leaves): sums of a value of each row over the leaves of each tree."""
+        n = 2**self.depth
+        key = ids.astype(np.int64) + np.arange(self.trees) * n
+        return np.bincount(key.ravel(), np.repeat(values, self.trees), self.trees * n).reshape(self.trees, n)
 
-def folds(ids: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
-    """A reproducible fold of each row."""
-    return np.random.default_rng(seed).permutation(len(ids)) % k
+    def step(self, gradient: np.ndarray, hessian: np.ndarray) -> None:
+        """Move the leaves by the mean over the trees of the Newton step that each tree's leaves would make alone."""
+        self.leaves = np.round(self.leaves - gradient / (hessian + self.l2) / self.trees, 9)
 
 
 class Isotonic:
@@ -96,11 +112,3 @@ class Isotonic:
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.x, self.p)
-
-
-def out_of_fold(x: np.ndarray, y: np.ndarray, k: int = 3, **kw) -> np.ndarray:
-    """Each row's log-odds by a model that has not seen it."""
-    of, out = folds(y, k), np.zeros(len(y))
-    for i in range(k):
-        out[of == i] = BoostedTrees(**kw).fit(x[of != i], y[of != i]).score(x[of == i])
-    return out
