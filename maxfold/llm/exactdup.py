@@ -30,6 +30,8 @@ CHOICE = LENGTH - BLOCK + 1
 CHUNK, STEP = 1 << 20, 1 << 21
 #: Bytes of contexts that are sorted at once; a bucket with more is sorted in parts, each with whole names.
 SORT = 1 << 20
+#: Bytes of text to a bucket of names, digests or contexts: buckets grow in number, not in size.
+BUCKET = 32 << 20
 #: A name that occurs so often is hot: its windows travel alone, dealt by their own content.
 HOT = 1 << 15
 NULL_ID = -(1 << 63)
@@ -439,7 +441,6 @@ def _locate(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark: SparkSession = docs.sparkSession
     chunks = chunk_table(docs)
     texts = chunks.select("chunk", "ids", "lens", "blob")
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary())])
@@ -448,6 +449,8 @@ def _locate(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             yield _batch(schema, [(own, i, int(c.ids[i]), int(c.lens[i]), hashlib.sha256(c.bytes[c.starts[i] : c.ends[i]]).digest()) for i in range(len(c.ids))])
 
     every = materialize(texts.mapInArrow(digest, "chunk long, idx int, doc_id long, n_bytes long, sha binary"), "dup-docs")
+    total = every.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     first = materialize(every.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min(F.struct("doc_id", "chunk", "idx")).alias("f")), "dup-first")
     active = materialize(first.groupBy(F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.idx").alias("active")), "dup-active")
     names = texts.join(active, "chunk").mapInArrow(_names(buckets), "nb int, chunk long, names binary")

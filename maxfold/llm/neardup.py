@@ -17,8 +17,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Registers of a signature; bands of ROWS registers. Two texts of similarity 0.8 share a band with probability 0.9998.
 REGISTERS, ROWS = 64, 4
 BANDS = REGISTERS // ROWS
-#: Pairs of one component whose registers agree less are not verified: at similarity 0.8 that has probability 1e-6.
-AGREEMENT = 34 / 64
 #: Weight of the texts that one task verifies at once; components beyond it are cut into blocks of half as much. A text
 #: weighs 1, and 1 more for each HEAVY distinct shingles, so a task holds 200 MB of shingles at most besides a longer text.
 TILE, HEAVY = 2048, 8192
@@ -136,23 +134,24 @@ class Overlaps:
 
 
 def link_texts(sig: np.ndarray, bags: list, known: np.ndarray, side: np.ndarray | None, similarity: float) -> np.ndarray:
-    """The least index of each text's class: classes are connected by pairs of at least ``similarity``.
+    """The least index of each text's class: classes are connected by pairs of at least ``similarity`` that share a band.
 
     Pairs are verified in the order of agreeing registers; one whose texts are already connected needs no verifying.
     ``known``: labels of texts that are connected from the start. ``side``: only pairs of texts from different sides count.
     """
     known = np.unique(known, return_inverse=True)[1]
     n = len(sig)
+    bands = np.ascontiguousarray(sig).view(f"V{4 * ROWS}")  # (n, BANDS): a band's registers as one value
+    bands = np.stack([np.unique(bands[:, i], return_inverse=True)[1] for i in range(BANDS)], 1).astype(np.int32)
     a, b, s = [], [], []
     for i in range(n - 1):
-        agree = (sig[i + 1 :] == sig[i]).mean(1)
-        ok = (agree >= AGREEMENT) & (known[i + 1 :] != known[i])
+        ok = (bands[i + 1 :] == bands[i]).any(1) & (known[i + 1 :] != known[i])
         if side is not None:
             ok &= side[i + 1 :] != side[i]
-        j = np.flatnonzero(ok)
+        j = np.flatnonzero(ok) + i + 1
         a.append(np.full(len(j), i))
-        b.append(j + i + 1)
-        s.append(agree[j])
+        b.append(j)
+        s.append((sig[j] == sig[i]).mean(1))
     root = np.unique(known, return_index=True)[1][known]
 
     def find(x: int) -> int:
@@ -269,11 +268,11 @@ def place(members: DataFrame, tile: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id) of every row with a doc_id; class_id is the class's least doc_id.
 
-    Two texts are linked where the weighted Jaccard of their multisets of five-word shingles is at least
-    ``similarity``; classes are the connected components of the links. Texts with equal multisets are copies and are
-    represented by the least doc_id. Representatives that share a band of their BagMinHash signatures form candidate
-    components (a star per band bucket, so no bucket makes all pairs); within these, pairs whose registers agree are
-    verified by exact multiset overlap until each class is connected.
+    Two texts are linked where they share a band of their BagMinHash signatures and the weighted Jaccard of their
+    multisets of five-word shingles is at least ``similarity``; classes are the connected components of the links. Texts with equal multisets are copies and are
+    represented by the least doc_id. Representatives that share a band form candidate components (a star per band bucket,
+    so no bucket makes all pairs); within these, pairs that share a band are verified by exact multiset overlap until
+    each class is connected. That rule is the same in groups of every size.
 
     Texts of a component over an eighth of ``tile`` are first compared with hubs (hub_classes), so that what follows
     meets only texts that are not connected yet. A component of up to ``tile`` is then verified by one task; a larger one
