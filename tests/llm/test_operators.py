@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from maxfold.llm import ann, chat, decontaminate, exactdup, licenses, mixing, neardup, quality, tokens, toxicity
-from maxfold.llm.boosting import BoostedTrees, Isotonic, out_of_fold
+from maxfold.llm.boosting import BoostedTrees, Isotonic, sigmoid
 from maxfold.llm.components import connected_components
 from maxfold.llm.suffix import suffix_array
 
@@ -20,30 +20,38 @@ LABELS = "doc_id long, quality int, toxic int"
 # 1 ann
 
 
-def brute_nearest(vectors, k=5, every=50):
+def cosine(a, b):
+    """Of vectors of any lengths: what one lacks is zero."""
+    return sum(x * y for x, y in zip(a, b)) / np.linalg.norm(a) / np.linalg.norm(b)
+
+
+def brute_nearest(rows, k=5, every=50):
+    """rows: (id, vector); an id may have several vectors."""
     out = []
-    ids = sorted(vectors)
-    for q in ids:
-        if q % every == 0:
-            a = np.array(vectors[q])
-            s = sorted(((-float((a * np.array(vectors[i])).sum() / np.linalg.norm(a) / np.linalg.norm(vectors[i])), i) for i in ids if i != q))[:k]
-            out += [(q, r + 1, i) for r, (_, i) in enumerate(s)]
+    for q in sorted({i for i, _ in rows if i % every == 0}):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max([best.get(i, -2)] + [cosine(x, v) for j, x in rows if j == q])
+        out += [(q, r + 1, i) for r, (_, i) in enumerate(sorted((-round(s, 12), i) for i, s in best.items())[:k])]
     return out
 
 
 def test_ann_small_is_exact_and_ignores_bad_vectors(spark):
     rng = np.random.default_rng(2)
-    good = {i: rng.normal(size=8).tolist() for i in range(120)}
-    good[51] = good[50]
-    good[52] = good[50]  # equal vectors: ties to the smaller id
-    bad = [(200, None), (250, [0.0] * 8), (300, [1.0, None] + [0.0] * 6), (350, [float("nan")] * 8), (400, [float("inf")] + [0.0] * 7), (450, [1.0]), (None, good[1])]
-    rows = [(i, v, "x", 1) for i, v in [*good.items(), *bad, (7, good[7])]]
+    good = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    good[51] = (51, good[50][1])
+    good[52] = (52, good[50][1])  # equal vectors: ties to the smaller id
+    good += [(450, [1.0]), (451, rng.normal(size=11).tolist()), (7, rng.normal(size=8).tolist()), (50, good[3][1]), (3, good[60][1])]
+    bad = [(200, None), (250, [0.0] * 8), (300, [1.0, None] + [0.0] * 6), (350, [float("nan")] * 8), (400, [float("inf")] + [0.0] * 7), (None, good[1][1]), (500, [])]
+    rows = [(i, v, "x", 1) for i, v in [*good, *bad, good[7]]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rank int")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, min_candidates=1000).collect())
-    assert got == sorted(brute_nearest(good))
+    got = ann.nearest(df, min_candidates=1000).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(brute_nearest(good))
+    assert all(r["score"] == pytest.approx(max(cosine(x, y) for i, x in good for j, y in good if i == r["query_id"] and j == r["vec_id"]), abs=1e-12) for r in got)
     assert ann.nearest(df.limit(0)).count() == 0
-    few = df.where("vec_id in (50, 60, 61)")
-    assert [(r["rank"], r["vec_id"]) for r in ann.nearest(few).orderBy("rank").collect()] == [(r, i) for _, r, i in brute_nearest({i: good[i] for i in (50, 60, 61)})]
+    few = df.where("vec_id in (100, 61, 62)")
+    assert [(r["rank"], r["vec_id"]) for r in ann.nearest(few).orderBy("rank").collect()] == [(r, i) for _, r, i in brute_nearest([x for x in good if x[0] in (100, 61, 62)])]
 
 
 def test_ann_recall(spark):
@@ -51,7 +59,13 @@ def test_ann_recall(spark):
     v = {i: x for i, x in enumerate(rng.normal(size=(3000, 32)).tolist())}
     df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df).collect()}
-    want = {(q, i) for q, _, i in brute_nearest(v)}
+    want = set()
+    x = np.array([v[i] for i in sorted(v)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 50):
+        near = x @ x[q]
+        near[q] = -2
+        want |= {(q, int(i)) for i in np.argsort(-near)[:5]}
     assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
 
 
@@ -99,9 +113,55 @@ def test_boosting_and_isotonic():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     m = BoostedTrees(trees=60, depth=3).fit(x[:1000], y[:1000])
     assert ((m.score(x[1000:]) > 0) == (y[1000:] > 0.5)).mean() > 0.95
-    s = out_of_fold(x, y, trees=20, depth=3)
-    p = Isotonic(s, y)(np.sort(s))
+    s = m.score(x[1000:])
+    p = Isotonic(s, y[1000:])(np.sort(s))
     assert (np.diff(p) >= 0).all() and 0 <= p[0] and p[-1] <= 1
+    ids = m.leaf_ids(x[:50])
+    assert np.array_equal(m.at_leaves(ids), m.score(x[:50]))
+    sums = m.leaf_sums(ids, y[:50])
+    assert all(sums[t, leaf] == y[:50][ids[:, t] == leaf].sum() for t in range(0, 60, 7) for leaf in range(8))
+
+
+def test_views_exchange_pseudo_labels():
+    """One round against the same sums and steps written out row by row."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(300) < 0.6).astype(float)
+    views = [rng.normal(size=(300, 3)) + 2 * y[:, None], rng.normal(size=(300, 2)) + 1.5 * y[:, None]]
+    pool_y = (rng.random(200) < 0.5).astype(float)
+    pool = [rng.normal(size=(200, 3)) + 2 * pool_y[:, None], rng.normal(size=(200, 2)) + 1.5 * pool_y[:, None]]
+    fold = np.arange(300) % quality.FOLDS
+    model = quality.CoTrained().fit(views, y, fold)
+    assert len(model.models) == quality.FOLDS + 1
+    told = model.gather(model.leaves(pool))
+    half = model.gather(model.leaves([x[:90] for x in pool])) + model.gather(model.leaves([x[90:] for x in pool]))
+    assert np.allclose(told, half)
+    want = []
+    for m, pair in enumerate(model.models):
+        known = fold != m - 1
+        sure = [model.calibrated[v](pair[v].score(pool[v])) for v in (0, 1)]
+        for v, t in enumerate(pair):
+            g, h = np.zeros((t.trees, 8)), np.zeros((t.trees, 8))
+            at = t.leaf_ids(views[v][known])
+            for row, label in zip(at, y[known]):
+                p = sigmoid(t.base + sum(t.leaves[i, leaf] for i, leaf in enumerate(row)))
+                for i, leaf in enumerate(row):
+                    g[i, leaf] += p - label
+                    h[i, leaf] += p * (1 - p)
+            for label in (0.0, 1.0):
+                rows = [i for i in range(200) if (sure[1 - v][i] if label else 1 - sure[1 - v][i]) >= quality.CONFIDENCE]
+                assert told[m, v, int(label), -1] == len(rows)
+                for row, p in zip(t.leaf_ids(pool[v][rows]), sigmoid(t.score(pool[v][rows]))):
+                    for i, leaf in enumerate(row):
+                        scale = quality.PSEUDO_WEIGHT * (y[known] == label).sum() / len(rows)
+                        g[i, leaf] += scale * (p - label)
+                        h[i, leaf] += scale * p * (1 - p)
+            want.append(t.leaves - g / (h + t.l2) / t.trees)
+    before = model.calibrated
+    model.exchange(told)
+    assert all(np.allclose(t.leaves, w, atol=1e-8) for t, w in zip([t for pair in model.models for t in pair], want))
+    assert model.calibrated is not before
+    scores = model.light().score(pool)
+    assert ((scores[2] > 0.5) == pool_y).mean() > 0.9
 
 
 # 3 suffix sort
@@ -221,7 +281,9 @@ def test_leaks_match_brute_force(spark):
         docs.append((200 + i, f"{words(rng, 20)} {edited(rng, t, budget)} {words(rng, 9)}"))
         docs.append((300 + i, f"{words(rng, 20)} {edited(rng, t, budget * 3 + 4)}"))
     docs += [(400, None), (401, ""), (None, items[0][1]), (100, "repeated row"), (402, words(rng, 20000) + items[3][1])]
-    bench = spark.createDataFrame([*items, (90, None), (None, "no id but a text of some length"), (91, ""), (92, "short"), items[0]], "item_id long, text string")
+    docs += [(403, "a short one."), (404, "a shorts one, shortone, short ones"), (405, "x91 ax9 (x9)"), (406, "ax9 x99")]
+    small = {92: {403}, 93: {405}}
+    bench = spark.createDataFrame([*items, (90, None), (None, "no id but a text of some length"), (91, ""), (92, "Short  one"), (93, "x9"), items[0]], "item_id long, text string")
     got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(documents(spark, docs), bench).collect())
     want = Counter()
     for d, t in docs:
@@ -230,7 +292,9 @@ def test_leaks_match_brute_force(spark):
             n = edit_distance_within(x, norm) if len(norm) < 5000 else (0 if x in norm else 10**6)
             if n <= int(len(x) * decontaminate.ERROR_RATE):
                 want[(d, i, n)] += 1
-    assert got == want
+        for i, at in small.items():
+            want[(d, i, 0)] += d in at
+    assert got == +want
 
 
 def test_leaks_edges(spark):
@@ -315,82 +379,142 @@ def test_mix_edges(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in only] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_of_equal_rows_shares_what_is_left(spark):
+    rows = [(None, "a b c d e", "a")] * 900 + [(i, "x y", "b") for i in range(2000)]
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    a = [r for r in got if r["source"] == "a"]
+    assert len({r["taken"] for r in a}) == 1 and abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 900
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 # 6 tokens
 
 
 def test_token_counts(spark):
     rows = corpus()
-    docs = documents(spark, rows)
-    got = tokens.count_tokens(tokens.token_stream(docs, block=64))
+    docs = documents(spark, rows).repartition(3)
+    got = tokens.count_document_tokens(docs)
     encoder = tokens._encoder(None)
     want = Counter((d, len(encoder.encode_ordinary(t or ""))) for d, t in rows)
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
-    assert tokens.count_tokens(tokens.token_stream(docs.limit(0))).count() == 0
+    assert tokens.count_document_tokens(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 8, 1000])
-def test_token_files_round_trip(spark, tmp_path, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("fan", [1, 3, 1024])
+@pytest.mark.parametrize("step", [2, 5, 16, 1 << 22])
+def test_token_files_round_trip(spark, tmp_path, monkeypatch, step, fan):
+    monkeypatch.setattr(tokens, "FAN", fan)
+    rng = random.Random(step + fan)
     want = {}
     for f in range(3):
         lengths = [rng.choice([0, 0, 1, 2, 5, 30]) for _ in range(rng.randrange(0, 12))]
         tail = rng.choice([0, 4])
-        ids = [x for n in lengths for x in [*[7] * n, tokens.EOD]] + [9] * tail
+        ids = [x for n in lengths for x in [*[7] * n, tokens.EOD]] + [0xC450 >> 8 | 0x5000] * tail
         (tmp_path / f"f{f}.bin").write_bytes(struct.pack(f"<{len(ids)}H", *ids))
         want[f"f{f}.bin"] = [(n, True) for n in lengths] + ([(tail, False)] if tail else [])
-    got = tokens.count_tokens(tokens.read_token_files(spark, str(tmp_path), block=block)).orderBy("file_id", "ordinal").collect()
-    found = {}
-    for r in got:
-        rows = found.setdefault(r["file_id"].rsplit("/", 1)[-1], [])
-        assert r["ordinal"] == len(rows)
-        rows.append((r["n_tokens"], r["complete"]))
-    assert found == {k: v for k, v in want.items() if v}
+    for stores in (tokens.RANGED, ()):  # by byte ranges, and whole
+        found = {}
+        for r in tokens.count_tokens(tokens.scan_files(spark, str(tmp_path), step=step, ranged=stores)).orderBy("file_id", "ordinal").collect():
+            rows = found.setdefault(r["file_id"].rsplit("/", 1)[-1], [])
+            assert r["ordinal"] == len(rows)
+            rows.append((r["n_tokens"], r["complete"]))
+        assert found == {k: v for k, v in want.items() if v}
 
 
 # 7 licenses
 
 
 def brute_licenses(rows):
-    compiled = licenses.compile_templates()
+    """Every window of every template counted word by word; overlaps settled by looking at all pairs."""
+    templates = licenses.compile_templates()
+    phrases = [(name, w, x.split()) for name, x, w in licenses.phrase_rows()]
     out = {}
     for d, t in rows:
         w = re.findall(r"[^\W_]+", (t or "").lower())
         s = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
-        best = {}
-        for c in compiled:
-            for a in range(0, max(0, len(s)), c.stride):
-                share = len(set(s[a : a + c.window]) & set(c.shingles)) / len(c.shingles)
-                if share >= 0.8:
-                    best.setdefault(a, []).append((-share, c.name))
-        for a, found in best.items():
-            share, name = min(found)
-            out[(d, name)] = max(out.get((d, name), 0), -share)
+        spans = {(name, 1.0, n, i, i + n) for name, n, x in phrases for i in range(len(w)) if w[i] == x[0] and w[i : i + n] == x}
+        for c in templates:
+            shingles = set(c.shingles)
+            wins, every = [], [i for i, x in enumerate(s) if x in shingles]
+            for a in sorted({a for i in every for a in range(max(0, i - c.window + 1), i + 1) if a % c.stride == 0}):
+                at = [i for i in every if a <= i < a + c.window]
+                held = len({s[i] for i in at})
+                if held >= 0.8 * len(c.shingles):
+                    wins.append((held, -a, at))
+            for held, a, at in wins:
+                if not any((h, b) > (held, a) and abs(a - b) < c.window for h, b, _ in wins):
+                    spans.add((c.license, held / len(c.shingles), held + 4, at[0], at[-1] + 5))
+        for name, share, m, a, b in spans:
+            rank = (-m, -share, name)
+            if not any(y[0] != name and y[3] < b and a < y[4] and (-y[2], -y[1], y[0]) < rank for y in spans):
+                best = (share, m, -a, len(w))
+                out[(d, name)] = max(out.get((d, name), best), best)
     return out
 
 
+def scanned(df):
+    return {(r["doc_id"], r["license"]): (r["containment"], r["matched"], -r["word"], r["n_words"]) for r in df.collect()}
+
+
 def test_licenses_match_brute_force(spark):
     rng = random.Random(11)
     rows = corpus()
-    for i, t in enumerate(licenses.TEMPLATES.values()):
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
         rows.append((1000 + i, f"{words(rng, rng.randrange(0, 40))}\n{t}\n{words(rng, 30)}"))
         w = t.split()
         if len(w) > 20:
             w[3] = "oops"
         rows.append((2000 + i, " ".join(w).upper()))
-    rows += [(3000, "license " * 500), (3001, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (1000, rows[-1][1])]
-    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
-    assert got == pytest.approx(brute_licenses(rows))
-    assert {n for _, n in got} >= {"MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "MIT-permission"}
+    both = " ".join(t for n, t in licenses.TEMPLATES if n in ("GPL-2.0", "GPL-3.0"))
+    rows += [(3000, "license " * 500), (3001, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (1000, rows[-1][1]), (3002, both), (3003, f"{both} " * 3)]
+    got = scanned(licenses.scan_licenses(documents(spark, rows)))
+    assert got == brute_licenses(rows)
+    assert {n for _, n in got} >= {n for n, _ in licenses.TEMPLATES} - {"0BSD"}
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_versions_and_headers_are_told_apart(spark):
+    header = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 100)
+    rows = [(1, "one two three four This work is licensed under the GNU General Public License, version 3."), (2, f"a b c d {header}"), (3, "")]
+    got = scanned(licenses.scan_licenses(documents(spark, rows)))
+    assert set(got) == {(1, "GPL-3.0"), (2, "Apache-2.0")}
+    assert got[(1, "GPL-3.0")][:3] == (1.0, 12, -4) and got[(2, "Apache-2.0")][0] == 1.0 and got[(2, "Apache-2.0")][2] == -4
+
+
+def test_license_texts_from_a_table(spark):
+    rng = random.Random(3)
+    text = f"this license {words(rng, 900)} of this software " + words(rng, 900).replace("w1", "license w1")
+    table = spark.createDataFrame([("Own-1.0", text), ("MIT", "Released under the MIT License."), (None, text), ("x", None)], "license string, text string")
+    rows = [(1, f"{words(rng, 300)} {text} {words(rng, 300)}"), (2, words(rng, 3000)), (None, text), (None, text)]
+    got = scanned(licenses.scan_licenses(documents(spark, rows), table))
+    assert got[(1, "Own-1.0")][:3] == (1.0, len(text.split()), -300) and got[(None, "Own-1.0")][0] == 1.0 and not [k for k in got if k[0] == 2]
+
+
+def test_licenses_in_a_long_text(spark):
+    """Twice the words in about twice the time; anchor words everywhere."""
+    rng, took = random.Random(5), []
+    import time
+
+    for n in (100_000, 200_000):
+        w = words(rng, n).split()
+        w[::20] = ["license"] * len(w[::20])
+        docs = documents(spark, [(1, " ".join(w) + " " + "Released under the MIT License. " * 200)]).cache()
+        docs.count()
+        began = time.time()
+        assert scanned(licenses.scan_licenses(docs)) == {(1, "MIT"): (1.0, 5, -n, n + 1000)}
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 2
+
+
 def test_templates_keep_the_guarantee():
     for t in licenses.compile_templates():
-        assert (1 - t.jaccard) ** licenses.BANDS < 1e-7, t.name
+        assert (1 - t.jaccard) ** licenses.BANDS < 1e-7, t.license
     with pytest.raises(ValueError, match="fewer"):
-        licenses.compile_templates({"x": "a license"})
+        licenses.compile_templates([("x", "a license")])
     with pytest.raises(ValueError, match="anchor"):
-        licenses.compile_templates({"x": "one two three four five six seven eight nine"})
+        licenses.compile_templates([("x", "one two three four five six seven eight nine")])
+    with pytest.raises(ValueError, match="key word"):
+        licenses.phrase_rows({"x": ("one two three",)})
 
 
 def test_short_notices_and_usual_wordings(spark):
@@ -401,13 +525,13 @@ def test_short_notices_and_usual_wordings(spark):
         "Made available under the terms of the Apache License, Version 2.0": "Apache-2.0",
         "Distributed under the GNU GPL v3": "GPL-3.0",
         "Used under CC BY-SA 4.0 here": "CC-BY-SA-4.0",
-        "This program is free software: you can redistribute it": "GNU-header-opening",
-        licenses.TEMPLATES["GPL-2.0-header"]: "GPL-2.0-header",
+        "This program is free software: you can redistribute it": "GPL-unversioned",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "GPL-2.0",
     }
     rows = [(i, f"one two -- {t}\nthree") for i, t in enumerate(stated)] + [(50, "ALL RIGHTS\nRESERVED"), (51, "overall rights reserved"), (52, "all rights, not reserved"), (None, "All rights reserved")]
-    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_words"], r["word"]) for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    got = scanned(licenses.scan_licenses(documents(spark, rows)))
     assert {(i, name) for i, name in enumerate(stated.values())} <= set(got)
-    assert got[(0, "All-rights-reserved")] == (1.0, 6, 2) and got[(50, "All-rights-reserved")] == (1.0, 3, 0)
+    assert got[(0, "All-rights-reserved")] == (1.0, 3, -2, 6) and got[(50, "All-rights-reserved")] == (1.0, 3, 0, 3)
     assert (None, "All-rights-reserved") in got and not {d for d, _ in got} & {51, 52}
 
 
@@ -436,6 +560,46 @@ def test_toxicity_learns_words_and_obfuscation(spark):
     assert next(r for r in got if r["doc_id"] == 5002)["score"] > 0.5
 
 
+def brute_shape(text):
+    """Capitals, marks and shouted words, character by character."""
+    word = lambda c: c.isalnum() or c == "_"
+    upper = sum(c.isupper() for c in text)
+    marks = sum(not word(c) and not c.isspace() for c in text)
+    shouted = 0
+    for run in re.findall(r"\w+", text):
+        i = 0
+        while i < len(run):
+            j = i
+            while j < len(run) and run[j].isupper():
+                j += 1
+            shouted += j - i >= 3 and i == 0 and j == len(run)
+            i = max(j, i + 1)
+    return upper, marks, shouted
+
+
+def test_text_shapes_are_the_same_at_every_length():
+    rng = random.Random(17)
+    line = "ДА НЕТ Привет, МИР! ΑΒΓ ŁÓDŹ abcDEF ABC1 A_B \u2028 漢字 ÀÉÎ?? "
+    texts = ["", "A", "ABC", "AB!", line, line * 200, "".join(rng.choice("ABcd1_ !?Ж") for _ in range(5000))]
+    for t in texts:
+        s = toxicity.Shape(t)
+        assert (s.upper, s.marks, s.shouted) == brute_shape(t)
+        assert s.n == max(1, len(s.words)) and s.you == sum(w in toxicity.SECOND_PERSON for w in s.words)
+    assert toxicity.Shape(line * 200).upper == 200 * toxicity.Shape(line).upper
+
+
+def test_lexicons_do_not_see_their_fold(spark):
+    rng = random.Random(18)
+    rows = [(f"{words(rng, 20)} {'blorgh' if i % 2 else 'fine'} {f'only{i % 3}' if i % 2 else ''}", i % 2, i % 3) for i in range(120)]
+    got = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    assert all("blorgh" in x for x in got) and {"only0", "only1", "only2"} <= set(got[0])
+    for f in range(3):
+        assert f"only{f}" not in got[f + 1] and f"only{(f + 1) % 3}" in got[f + 1]
+    pos = sum(y and "blorgh" in t for t, y, _ in rows)
+    n_pos, n_neg = sum(y for _, y, _ in rows), sum(not y for _, y, _ in rows)
+    assert got[0]["blorgh"] == pytest.approx(np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log(0.5 / (n_neg + 0.5)))
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, corpus())
     none = spark.createDataFrame([], LABELS)
@@ -564,10 +728,14 @@ def brute_chat(rows):
         longer = any(len(o) > len(s) and o[: len(s)] == s for o in seq.values())
         equal = [d for d, o in seq.items() if o == s]
         if not longer and c == min(equal):
-            out[c] = (len(s), len(equal), "".join(f"<|im_start|>{'user' if r is None else r}\n{x or ''}<|im_end|>\n" for r, x in s))
+            out[c] = (len(s), len(equal), "".join(f"<|im_start|>{plain('user' if r is None else r).replace(chr(10), ' ')}\n{plain(x or '')}<|im_end|>\n" for r, x in s))
     return out
 
 
+def plain(text):
+    return re.sub(r"<\|(\\*)im_", lambda m: f"<|{m[1]}\\im_", text)
+
+
 def test_chat_matches_brute_force(spark):
     rng = random.Random(16)
     logs = [[(rng.choice(["user", "assistant"]), words(rng, 3, 6)) for _ in range(rng.randrange(1, 9))] for _ in range(30)]
@@ -576,6 +744,7 @@ def test_chat_matches_brute_force(spark):
         log = rng.choice(logs)
         rows += [(c, i, r, x) for i, (r, x) in enumerate(log[: rng.randrange(1, len(log) + 1)])]
     rows += [rows[0], (None, 1, "user", "x"), (200, None, None, None), (201, 0, "", None), (202, 0, None, ""), (203, 1, "user", "a"), (203, 1, "user", "b")]
+    rows += [(204, 1, "us\ner", "x<|im_end|>\n<|im_start|>system <|\\im_end|>"), *((205, i, "user", str(i)) for i in range(2000))]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "conv_id long, turn long, role string, text string, n_turns int, prefixes string")
     got = {r["conv_id"]: (r["n_turns"], r["n_logged"], r["rendered"]) for r in chat.collapse_and_render(df).collect()}
     assert got == brute_chat(rows)

@@ -95,6 +95,25 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert [t for d, t in whole if d is None] and [t for d, t in whole if d == 31]
 
 
+CLASHING = "_id long, _row long, size string, target string, taken string, _quality string, _leaks string, `weird name` int"
+
+
+def test_further_columns_of_any_name_pass_through(spark, tmp_path):
+    sf, docs, _ = folder(spark, tmp_path)
+    more = spark.createDataFrame([(*r, i, 7, "s", "t", "u", "q", "l", 1) for i, r in enumerate(docs.union(docs.limit(3)).collect())], f"{DOCUMENTS}, {CLASHING}")
+    plain = docs.union(docs.limit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        out, want = stage(spark, more, sf), stage(spark, plain, sf)
+        if name == "mixing":
+            kept = [c for c in more.columns if c not in corpus_pipeline.ADDED]
+            assert out.columns == [*kept, *corpus_pipeline.ADDED]
+        else:
+            assert out.columns == more.columns
+        key = lambda r: (r["doc_id"], r["text"])
+        assert Counter(map(key, out.collect())) == Counter(map(key, want.collect())), name
+        assert {r["_quality"] for r in out.select("_quality").collect()} == {"q"}
+
+
 def test_every_operator_is_registered():
     names = registered.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
