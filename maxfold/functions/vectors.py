@@ -1,7 +1,13 @@
-"""Vector expressions on array<double> columns; all stay in the JVM."""
+"""Vector expressions on array<double> columns, in the JVM, and the view of them as matrices for Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +23,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once: used as it is within a lambda, an expression is computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalize(v: Column, floor: float = NORM_FLOOR) -> Column:
     """v over its length, the length being at least ``floor``: a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(floor))
-    return F.transform(v, lambda x: x / n)
+    return let(v, lambda a: let(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def preview(v: Column, n: int = 3) -> Column:
@@ -62,19 +72,28 @@ def biased(base: Column, noise: float, key: Column) -> Column:
 
 def string_hash(text: Column) -> Column:
     """h = h * 31 + byte over the UTF-8 bytes, modulo 2**32."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.hex(text.cast("binary"))) / 2, F.lit(0)).cast("int")), lambda i: F.substring(F.hex(text.cast("binary")), 2 * i - 1, F.lit(2)))
-    hashed = F.aggregate(pairs, F.lit(0).cast("long"), lambda h, b: (h * 31 + F.conv(b, 16, 10).cast("long")) % 4294967296)
+    places = F.sequence(F.lit(1), F.octet_length(text).cast("int"))
+    step = lambda digits: F.aggregate(places, F.lit(0).cast("long"), lambda h, i: (h * 31 + F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")) % 4294967296)
+    hashed = let(F.hex(text.cast("binary")), step)
     return F.when(F.length(text) > 0, hashed).otherwise(F.lit(0).cast("long"))
 
 
 def mean_by(df: DataFrame, keys: list[str], vector: str, out: str, *, unit: bool = True) -> DataFrame:
-    """Component-wise mean of a vector column per group, normalised if ``unit``: partial sums before the shuffle."""
-    d = df.select(*keys, F.posexplode(vector).alias("_d", "_x")).groupBy(*keys, "_d").agg(F.avg("_x").alias("_m"))
-    v = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda s: s["_m"])
-    d = d.groupBy(*keys).agg(v.alias(out))
+    """Component-wise mean of a vector column per group, normalised if ``unit``.
+
+    One aggregate whose buffer is a vector: partial sums before the shuffle, and no row per component.
+    """
+    d = df.select(*keys, array_to_vector(vector).alias("_v")).groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    d = d.select(*keys, vector_to_array("_m").alias(out))
     return d.withColumn(out, normalize(F.col(out))) if unit else d
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow batch of equally long vectors as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(np.float64, copy=False) if len(column) else np.zeros((0, 0))
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(x, digits) + F.lit(0.0)

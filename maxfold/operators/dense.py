@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, hash_uniform, mean_by
-from .score import DIGITS, checked_broadcast, top_k
+from ..functions.vectors import dot, hash_uniform, matrix, mean_by
+from . import kmeans
+from .score import DIGITS, checked_broadcast, in_blocks, top_k
+
+#: Nodes to a list, lists in which a node looks for its neighbours, nodes compared by searches at once.
+LIST_ROWS, PROBES, BLOCK = 4096, 4, 4096
 
 
 def sentence_vectors(tok: DataFrame) -> DataFrame:
@@ -16,8 +25,11 @@ def sentence_vectors(tok: DataFrame) -> DataFrame:
 
 def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of every query (qid, qv) by every document (doc_id, v)."""
-    both = docs.crossJoin(checked_broadcast(queries.select("qid", "qv")))
-    return both.select("qid", "doc_id", F.round(dot(F.col("v"), F.col("qv")), DIGITS).alias("score"))
+    out = None
+    for block in in_blocks(queries.select("qid", "qv"), "qid"):
+        both = docs.crossJoin(F.broadcast(block)).select("qid", "doc_id", F.round(dot(F.col("v"), F.col("qv")), DIGITS).alias("score"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def exact_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -27,8 +39,7 @@ def exact_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def ivf_search(docs: DataFrame, queries: DataFrame, centroids: DataFrame, *, n_probe: int, k: int = 10) -> DataFrame:
     """Search in the lists of the n_probe centroids (cid, ce) nearest to each query."""
     c = checked_broadcast(centroids)
-    sim = F.round(dot(F.col("v"), F.col("ce")), DIGITS)
-    listed = docs.crossJoin(c).groupBy("doc_id").agg(F.max(F.struct(sim.alias("s"), "cid")).alias("_b"), F.first("v").alias("v")).select("doc_id", "v", F.col("_b.cid").alias("cid"))
+    listed = kmeans.assign(docs.select("doc_id", F.col("v").alias("e")), centroids).select("doc_id", F.col("e").alias("v"), "cid")
     w = Window.partitionBy("qid").orderBy(F.desc("_s"), "cid")
     asked = queries.crossJoin(c).select("qid", "qv", "cid", F.round(dot(F.col("qv"), F.col("ce")), DIGITS).alias("_s"))
     asked = asked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_probe).select("qid", "qv", "cid")
@@ -42,16 +53,109 @@ def graph_levels(docs: DataFrame, m: int = 4, most: int = 8) -> DataFrame:
     return docs.select("doc_id", F.least(F.floor(-F.log(u) / F.log(F.lit(float(m)))), F.lit(most)).cast("int").alias("level"))
 
 
-def graph_edges(docs: DataFrame, levels: DataFrame, centroids: DataFrame, *, m: int = 4) -> DataFrame:
-    """(layer, src, dst, sim): each node's m nearest of its layer among those in its own centroid's list."""
-    sim = F.round(dot(F.col("v"), F.col("ce")), DIGITS)
-    d = docs.crossJoin(checked_broadcast(centroids)).groupBy("doc_id").agg(F.max(F.struct(sim.alias("s"), "cid")).alias("_b"), F.first("v").alias("v"))
-    d = d.join(levels, "doc_id").select("doc_id", "v", F.col("_b.cid").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("level"))).alias("layer"))
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (F.col("a.cid") == F.col("b.cid")) & (F.col("a.layer") == F.col("b.layer")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    pairs = pairs.select(F.col("a.layer").alias("layer"), F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"), F.round(dot(F.col("a.v"), F.col("b.v")), DIGITS).alias("sim"))
-    w = Window.partitionBy("layer", "src").orderBy(F.desc("sim"), "dst")
-    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).drop("_r")
+def graph_edges(docs: DataFrame, levels: DataFrame, *, m: int = 4, list_rows: int = LIST_ROWS, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """(layer, src, dst, sim): in each layer a node and its m nearest nodes found, in both directions, and a line of hubs.
+
+    Each layer is dealt to lists of about ``list_rows`` nodes by trained centroids; a node is stored in its nearest list and
+    looks for neighbours in the ``probes`` nearest. A list is compared in blocks of ``block`` nodes by ``block`` searches,
+    each of which passes on m rows a node. A layer of one list is compared whole, so its neighbours are exact. In a layer of
+    several, the nodes of a list are linked to the list's first node, and these to each other in a line: no part is cut off.
+    """
+    spark, out = docs.sparkSession, None
+    on = docs.join(levels, "doc_id").select("doc_id", F.col("v").alias("e"), "level")
+    top = levels.agg(F.max("level")).first()[0]
+    for layer in range((top if top is not None else -1) + 1):  # nine layers at most
+        nodes = on.where(F.col("level") >= layer).select("doc_id", "e")
+        n = nodes.count()
+        lists = max(1, -(-n // list_rows))
+        if lists == 1:
+            stored = nodes.withColumn("cid", F.lit(0))
+            asked = stored.select("doc_id", "e", "cid")
+        else:
+            c = kmeans.fit(nodes, lists, key="doc_id", iters=10)
+            stored = kmeans.assign(nodes, c).drop("csim")
+            asked = _nearest_lists(nodes, c, min(probes, lists))
+        grid = stored.groupBy("cid").count().select("cid", F.ceil(F.col("count") / block).cast("int").alias("_n"))
+        grid = F.broadcast(grid)  # one row a list
+        there = stored.join(grid, "cid").select("cid", F.pmod(F.xxhash64("doc_id"), "_n").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("s"), "doc_id", "e")
+        here = asked.join(grid, "cid").select("cid", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("r"), F.pmod(F.xxhash64("doc_id"), "_n").cast("int").alias("s"), "doc_id", "e").toDF("qcid", "qr", "qs", "qid", "qe")
+        near = there.groupBy("cid", "r", "s").cogroup(here.groupBy("qcid", "qr", "qs")).applyInPandas(_nearest_in_block(m), "src long, dst long, sim double")
+        w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+        best = near.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).select("src", "dst", "sim")
+        if lists > 1:
+            best = best.unionByName(_hub_lines(stored))
+        both = best.unionByName(best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")).distinct()
+        part = both.select(F.lit(layer).alias("layer"), "src", "dst", "sim")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "layer int, src long, dst long, sim double") if out is None else out
+
+
+def _nearest_lists(nodes: DataFrame, c: DataFrame, probes: int) -> DataFrame:
+    """(doc_id, e, cid): every node once for each of its nearest lists."""
+    rows = c.orderBy("cid").collect()  # a centroid a list
+    ids, m = np.array([r["cid"] for r in rows], np.int32), np.array([r["ce"] for r in rows], float).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(matrix(b.column(1)) @ m), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(ids[near]), pa.list_(pa.int32()))], names=["doc_id", "e", "cids"])
+
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    return nodes.select("doc_id", "e").mapInArrow(run, f"doc_id {kind}, e array<double>, cids array<int>").select("doc_id", "e", F.explode("cids").alias("cid"))
+
+
+def _nearest_in_block(m: int):
+    def run(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
+        if not len(there) or not len(here):
+            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "int64"})
+        there = there.sort_values("doc_id", kind="stable")
+        dst, src = there["doc_id"].to_numpy(), here["qid"].to_numpy()
+        sims = np.round(np.stack(here["qe"].to_numpy()) @ np.stack(there["e"].to_numpy()).T, DIGITS)
+        sims[src[:, None] == dst[None, :]] = -np.inf
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :m]
+        best = np.take_along_axis(sims, at, 1)
+        ok = np.isfinite(best)
+        return pd.DataFrame({"src": np.repeat(src, at.shape[1])[ok.ravel()], "dst": dst[at].ravel()[ok.ravel()], "sim": best.ravel()[ok.ravel()]})
+
+    return run
+
+
+def _hub_lines(stored: DataFrame) -> DataFrame:
+    """(src, dst, sim): each node to the first of its list, and these in a line."""
+    hubs = stored.groupBy("cid").agg(F.min_by(F.struct("doc_id", "e"), "doc_id").alias("_h")).select("cid", F.col("_h.doc_id").alias("dst"), F.col("_h.e").alias("he"))
+    hubs = F.broadcast(hubs)  # one row a list
+    spokes = stored.join(hubs, "cid").where("doc_id != dst").select(F.col("doc_id").alias("src"), "dst", F.round(dot(F.col("e"), F.col("he")), DIGITS).alias("sim"))
+    w = Window.orderBy("cid")
+    line = hubs.select(F.col("dst").alias("src"), F.col("he").alias("e"), F.lead("dst").over(w).alias("dst"), F.lead("he").over(w).alias("he")).where("dst is not null")
+    return spokes.unionByName(line.select("src", "dst", F.round(dot(F.col("e"), F.col("he")), DIGITS).alias("sim")))
+
+
+def graph_search(docs: DataFrame, levels: DataFrame, edges: DataFrame, queries: DataFrame, *, ef: int = 50, k: int = 10) -> DataFrame:
+    """(qid, rank, doc_id, score): descent through the layers, then a best-first search of the lowest with a beam of ``ef``.
+
+    In a round every query opens the unopened nodes of its beam; their neighbours are scored by a join with the edges and
+    the vectors, and the best ``ef`` stay, until nothing in a beam is unopened. The queries' beams (ef rows each) are what
+    comes to the driver after a round, so that lineage does not grow.
+    """
+    spark = docs.sparkSession
+    start = greedy_hops(docs, levels, edges, queries).where("layer = 0").select("qid", "doc_id", "sim").collect()
+    beams = {r["qid"]: {r["doc_id"]: r["sim"]} for r in start}
+    opened: dict[int, set[int]] = {qid: set() for qid in beams}
+    floor = edges.where("layer = 0").select(F.col("src").alias("node"), F.col("dst").alias("doc_id"))
+    while todo := [(qid, d) for qid, beam in beams.items() for d in beam if d not in opened[qid]]:
+        for qid, d in todo:
+            opened[qid].add(d)
+        front = F.broadcast(spark.createDataFrame(todo, "qid long, node long"))  # ef rows a query
+        reach = floor.join(front, "node").select("qid", "doc_id").distinct()
+        s = docs.select("doc_id", "v").join(reach, "doc_id").join(F.broadcast(queries.select("qid", "qv")), "qid")
+        w = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_id")
+        s = s.select("qid", "doc_id", F.round(dot(F.col("v"), F.col("qv")), DIGITS).alias("sim")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ef)
+        for r in s.collect():
+            beams[r["qid"]][r["doc_id"]] = r["sim"]
+        beams = {qid: dict(sorted(beam.items(), key=lambda x: (-x[1], x[0]))[:ef]) for qid, beam in beams.items()}
+    rows = [(qid, i + 1, d, s) for qid, beam in beams.items() for i, (d, s) in enumerate(list(beam.items())[:k])]
+    return spark.createDataFrame(rows, "qid long, rank int, doc_id long, score double")
 
 
 def layer_stats(levels: DataFrame, edges: DataFrame) -> DataFrame:

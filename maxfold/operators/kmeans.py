@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, hash_uniform, mean_by
+from ..functions.vectors import dot, hash_uniform, matrix, mean_by
 from .score import DIGITS, checked_broadcast
 
+#: Numbers of centroids that one pass over the tokens carries.
+CELLS = 4_000_000
+#: Centroids of a type without a budget of its own.
+KAPPA = 4
+
 
 def assign(tok: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``tok`` with the cid of the most similar centroid, the largest cid of equal ones, and its similarity ``csim``."""
-    c = checked_broadcast(centroids.select("cid", "ce"))
-    keys = [x for x in tok.columns if x != "e"]
-    sim = F.round(dot(F.col("e"), F.col("ce")), DIGITS)
-    best = tok.crossJoin(c).groupBy(*keys).agg(F.max(F.struct(sim.alias("s"), "cid")).alias("_b"), F.first("e").alias("e"))
-    return best.select(*keys, "e", F.col("_b.cid").alias("cid"), F.col("_b.s").alias("csim"))
+    """``tok`` with the cid of the most similar centroid, the largest cid of equal ones, and its similarity ``csim``.
+
+    Tokens are not shuffled: each Arrow batch meets the centroids, CELLS numbers of these in one pass, the rest in further
+    passes. Without centroids no token is assigned.
+    """
+    rows = centroids.select("cid", "ce").orderBy(F.desc("cid")).collect()
+    step = max(1, CELLS // max(1, len(rows[0]["ce"]) if rows else 1))
+    out = tok.withColumn("cid", F.lit(None).cast("int")).withColumn("csim", F.lit(None).cast("double"))
+    for i in range(0, len(rows), step):
+        out = _nearer(out, rows[i : i + step])
+    return out.where("cid is not null")
+
+
+def _nearer(tok: DataFrame, rows: list) -> DataFrame:
+    """``tok`` with cid and csim of these centroids (falling cid) where they are more similar: a matrix product per Arrow batch."""
+    ids, c = np.array([r["cid"] for r in rows], np.int32), np.array([r["ce"] for r in rows], float).T
+    e, cid, csim = (tok.columns.index(x) for x in ("e", "cid", "csim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sims = np.round(matrix(b.column(e)) @ c, DIGITS)
+            at = sims.argmax(1)
+            best = sims[np.arange(len(at)), at]
+            known, before = b.column(cid), b.column(csim).to_numpy(zero_copy_only=False)
+            better = ~(before >= best)  # also where none is known; an equal one of a larger cid stays
+            ours = np.where(better, ids[at], known.fill_null(0).to_numpy(zero_copy_only=False))
+            b = b.set_column(cid, "cid", pa.array(ours, pa.int32())).set_column(csim, "csim", pa.array(np.where(better, best, before)))
+            yield b
+
+    return tok.mapInArrow(run, tok.schema)
 
 
 def lloyd_step(tok: DataFrame, centroids: DataFrame, *, empty: str = "keep") -> DataFrame:
@@ -55,7 +90,7 @@ def postings(assigned: DataFrame) -> DataFrame:
 
 
 def cluster_types(tok: DataFrame, budgets: DataFrame, *, iters: int = 50, seed: int = 0xCAFEBABE, tolerance: float = 1e-6) -> DataFrame:
-    """(token_id, cid, ce): each token type clustered into its own kappa centroids (``budgets``: token_id, kappa).
+    """(token_id, cid, ce): each token type clustered into its own kappa centroids (``budgets``: token_id, kappa; KAPPA if null).
 
     All of a type's tokens take part: a step sums them per (token_id, cid) before the shuffle. A type stays as it is once
     its centroids move no more; only centroids come to the driver.
@@ -63,6 +98,7 @@ def cluster_types(tok: DataFrame, budgets: DataFrame, *, iters: int = 50, seed:
     from pyspark.sql import Window
 
     w = Window.partitionBy("token_id").orderBy(hash_uniform(F.lit(str(seed)), F.col("vec_id").cast("string")), "vec_id")
+    budgets = budgets.select("token_id", F.coalesce("kappa", F.lit(KAPPA)).alias("kappa"))
     most = int(budgets.agg(F.max("kappa")).first()[0] or 0)
     first = tok.select("token_id", "vec_id", "e").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
     first = first.join(budgets.select("token_id", "kappa"), "token_id").where(F.col("_r") <= F.col("kappa"))

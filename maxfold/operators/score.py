@@ -13,25 +13,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.text import query_weights
+from ..functions.vectors import dot, matrix
 
-#: Query tokens that may be broadcast (with 128 doubles each: 100 MB).
-BROADCAST_ROWS = 100_000
+#: A side of a join or a block of queries is broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 #: Similarities are rounded to this many digits before they are compared, so that order does not hang on summation.
 DIGITS = 9
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def weight(df: DataFrame) -> int:
+    """Bytes of ``df`` about: 64 a row and 8 a vector component. One job over it."""
+    parts = [F.sum(F.size(f.name)) for f in df.schema if f.dataType.typeName() == "array"]
+    rows = df.agg(F.count("*"), *parts).first()
+    return 64 * rows[0] + 8 * sum(x or 0 for x in rows[1:])
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it weighs at most ``limit`` bytes, else as it is: joins by key are then shuffled."""
+    return F.broadcast(df) if weight(df) <= limit else df
+
+
+def in_blocks(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """``df`` dealt by the hash of ``key`` into parts of about ``limit`` bytes, each to be broadcast in a pass of its own."""
+    n = max(1, -(-weight(df) // limit))
+    return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def similarities(tok: DataFrame, q: DataFrame) -> DataFrame:
     """Every query token by every document token: (qid, qpos, [w,] doc_id, pos, sim)."""
     extra = ["w"] if "w" in q.columns else []
-    t = tok.select("doc_id", "pos", "e")
-    both = t.crossJoin(checked_broadcast(q.select("qid", "qpos", "qe", *extra)))
-    return both.select("qid", "qpos", *extra, "doc_id", "pos", F.round(dot(F.col("e"), F.col("qe")), DIGITS).alias("sim"))
+    t, out = tok.select("doc_id", "pos", "e"), None
+    for block in in_blocks(q.select("qid", "qpos", "qe", *extra), "qid"):
+        both = t.crossJoin(F.broadcast(block)).select("qid", "qpos", *extra, "doc_id", "pos", F.round(dot(F.col("e"), F.col("qe")), DIGITS).alias("sim"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def row_maxima(sims: DataFrame) -> DataFrame:
@@ -68,7 +84,7 @@ def restrict(tok: DataFrame, candidates: DataFrame, q: DataFrame) -> DataFrame:
 
 def search(tok: DataFrame, q: DataFrame, k: int = 10) -> DataFrame:
     """Exact search: (qid, rank, doc_id, score)."""
-    return top_k(maxsim(row_maxima(similarities(tok, q))), k)
+    return top_k(maxsim(batched_maxima(tok, q)), k)
 
 
 def rerank(tok: DataFrame, q: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
@@ -79,27 +95,48 @@ def rerank(tok: DataFrame, q: DataFrame, candidates: DataFrame, k: int = 10) ->
 def batched_maxima(tok: DataFrame, q: DataFrame) -> DataFrame:
     """row_maxima(similarities()) by matrix products over Arrow batches: some ten times faster for many query tokens.
 
-    Maxima of a document whose tokens lie in several batches are joined by a last max().
+    Query tokens beyond BROADCAST_BYTES are dealt to blocks, each of which is a pass over the tokens. Maxima of a document
+    whose tokens lie in several batches are joined by a last max().
     """
-    if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return row_maxima(similarities(tok, q))
+    out = None
+    for block in in_blocks(q, "qid"):
+        part = _block_maxima(tok, block)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _block_maxima(tok: DataFrame, q: DataFrame) -> DataFrame:
     extra = ["w"] if "w" in q.columns else []
-    rows = q.select("qid", "qpos", "qe", *extra).collect()  # at most BROADCAST_ROWS
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in q.select("qid", "qpos").schema]
+    rows = q.select("qid", "qpos", "qe").orderBy("qid", "qpos").collect()  # BROADCAST_BYTES about
+    schema = f"{kinds[0]}, {kinds[1]}, doc_id {tok.schema['doc_id'].dataType.simpleString()}, m double"
     if not rows:
-        return row_maxima(similarities(tok, q))
+        empty = tok.sparkSession.createDataFrame([], schema)
+        return empty.withColumn("w", F.lit(None).cast("double")).select("qid", "qpos", "w", "doc_id", "m") if extra else empty
     m = np.array([r["qe"] for r in rows], float).T
-    ids, pos = np.array([r["qid"] for r in rows]), np.array([r["qpos"] for r in rows])
+    ids, pos = (np.array([r[c] for r in rows]) for c in ("qid", "qpos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             docs, of = np.unique(b.column(0).to_numpy(), return_inverse=True)
-            sims = np.array(b.column(1).to_pylist(), float) @ m
-            best = np.full((len(docs), m.shape[1]), -np.inf)
-            np.maximum.at(best, of, sims)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(docs)), pa.int64()), pa.array(np.tile(pos, len(docs)), pa.int64()), pa.array(np.repeat(docs, len(ids)), pa.int64()), pa.array(best.ravel())], names=["qid", "qpos", "doc_id", "m"])
+            order = np.argsort(of, kind="stable")
+            best = np.maximum.reduceat((matrix(b.column(1)) @ m)[order], np.searchsorted(of[order], np.arange(len(docs))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(docs))), pa.array(np.tile(pos, len(docs))), pa.array(np.repeat(docs, len(ids))), pa.array(best.ravel())], names=["qid", "qpos", "doc_id", "m"])
 
-    out = tok.select("doc_id", "e").mapInArrow(run, "qid long, qpos long, doc_id long, m double")
+    out = tok.select("doc_id", "e").mapInArrow(run, schema)
     out = out.groupBy("qid", "qpos", "doc_id").agg(F.round(F.max("m"), DIGITS).alias("m"))
-    return out.join(F.broadcast(q.select("qid", "qpos", "w")), ["qid", "qpos"]) if extra else out
+    return out.join(F.broadcast(q.select("qid", "qpos", "w")), ["qid", "qpos"]).select("qid", "qpos", "w", "doc_id", "m") if extra else out
+
+
+def lexical(words: DataFrame, q: DataFrame, n_docs: int) -> DataFrame:
+    """(qid, doc_id, score): the summed idf of the distinct words that a document shares with a query.
+
+    ``words`` (doc_id, token), ``q`` (qid, token) distinct. Documents are passed over once: what holds a word of some query
+    becomes postings, from which both the document frequencies and the scores come.
+    """
+    asked = checked_broadcast(q.select("token").distinct())
+    postings = words.join(asked, "token", "left_semi").select("doc_id", "token").distinct()
+    w = query_weights(q, postings.groupBy("token").agg(F.count("*").alias("df")), n_docs)
+    return postings.join(checked_broadcast(w), "token").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,11 @@ BUDGET, LEAST, MOST = 200, 4, 39
 
 
 def type_stats(tok: DataFrame) -> DataFrame:
-    """(token_id, n, s, w, class): frequency, mean squared distance to the mean, damped weight sqrt(n) * s."""
-    n = tok.groupBy("token_id").agg(F.count("*").alias("n"))
-    var = tok.select("token_id", F.posexplode("e").alias("_d", "_x")).groupBy("token_id", "_d").agg(F.var_pop("_x").alias("_v"))
-    s = var.groupBy("token_id").agg(F.sum("_v").alias("s"))
-    s = s.select("token_id", F.when(F.col("s") < 1e-12, 0.0).otherwise(F.col("s")).alias("s"))
-    return n.join(s, "token_id").select("token_id", "n", "s", (F.sqrt("n") * F.col("s")).alias("w"), tail_class(F.col("n")).alias("class"))
+    """(token_id, n, s, w, class): count, summed population variance of the components, damped weight sqrt(n) * s, class of size."""
+    v = tok.select("token_id", array_to_vector("e").alias("_v")).groupBy("token_id").agg(F.count("*").alias("n"), Summarizer.variance(F.col("_v")).alias("_var"))
+    total = F.aggregate(vector_to_array("_var"), F.lit(0.0), lambda x, y: x + y) * (F.col("n") - 1) / F.col("n")
+    d = v.select("token_id", "n", F.when(total < 1e-12, 0.0).otherwise(total).alias("s"))
+    return d.select("token_id", "n", "s", (F.sqrt("n") * F.col("s")).alias("w"), tail_class(F.col("n")).alias("class"))
 
 
 def allocate(weights: DataFrame, budget: int = BUDGET, least: int = LEAST, most: int = MOST) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .score import checked_broadcast, maxsim, rerank, row_maxima, similarities, top_k
+from .score import checked_broadcast, maxsim, rerank, batched_maxima, top_k
 
 THRESHOLD, BOUND = 0.3, 100
 
@@ -36,7 +36,7 @@ def with_fallback(candidates: DataFrame, queries: DataFrame, docs: DataFrame) ->
 
 def search(tok: DataFrame, q: DataFrame, *, k: int = 10, threshold: float = THRESHOLD, bound: int = BOUND) -> DataFrame:
     """Gathering and refining share one pass of row maxima; only queries that gathered nothing are scored against all."""
-    m = row_maxima(similarities(tok, q))
+    m = batched_maxima(tok, q)
     found = gather(m, threshold, bound).select("qid", "doc_id")
     return top_k(maxsim(m.join(with_fallback(found, q, tok), ["qid", "doc_id"])), k)
 

@@ -95,7 +95,7 @@ class Engine:
             return self.tok.select("doc_id", "pos", "token", preview(F.col("e")).alias("preview"))
         if target == "layers" and self.name == "hnsw":
             levels = dense.graph_levels(self.vectors)
-            return dense.layer_stats(levels, dense.graph_edges(self.vectors, levels, kmeans.initial(self.vectors.select("doc_id", F.col("v").alias("e")), 4, key="doc_id")))
+            return dense.layer_stats(levels, dense.graph_edges(self.vectors, levels))
         if target == "centroids" and self.name == "plaid":
             return self.centroids.join(self.postings, "cid", "left").groupBy("cid").agg(F.count("doc_id").alias("docs"))
         if target == "centroids" and self.name == "tac":

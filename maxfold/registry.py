@@ -125,7 +125,7 @@ def listed(spark: SparkSession, d: str):
 
 def maxima(spark: SparkSession, d: str):
     tok, q, _ = setup(spark, d)
-    return tok, q, score.row_maxima(score.similarities(tok, q))
+    return tok, q, score.batched_maxima(tok, q)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -172,11 +172,11 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", v.string_hash(F.col("url")).alias("h"))
 
 
-@register("hash_projection", sql(WORDS, "u AS (SELECT token, d, 2 * " + U.format(k="token || '#' || d") + " - 1 AS x FROM (SELECT DISTINCT token FROM wtok), range(0, 4) t(d))", "w AS (SELECT token, list(x ORDER BY d) AS r FROM u GROUP BY 1)",
-    select=f"SELECT token, {r6(UNIT.format(v='r') + '[1]')} AS d1, {r6(UNIT.format(v='r') + '[4]')} AS d4 FROM w"))
+@register("hash_projection", sql(WORDS, "u AS (SELECT token, d, 2 * " + U.format(k="token || '#' || d") + " - 1 AS x FROM (SELECT DISTINCT token FROM wtok), range(0, 128) t(d))", "w AS (SELECT token, list(x ORDER BY d) AS r FROM u GROUP BY 1)",
+    select=f"SELECT token, {r6(UNIT.format(v='r') + '[1]')} AS d1, {r6(UNIT.format(v='r') + '[128]')} AS d128 FROM w"))
 def _(spark, d):
-    types = tx.tokenize(table(spark, d, "documents")).select("token").distinct().withColumn("r", v.hash_vector(F.col("token"), 4))
-    return types.select("token", rounded(F.get("r", F.lit(0))).alias("d1"), rounded(F.get("r", F.lit(3))).alias("d4"))
+    types = tx.tokenize(table(spark, d, "documents")).select("token").distinct().withColumn("r", v.hash_vector(F.col("token"), 128))
+    return types.select("token", rounded(F.get("r", F.lit(0))).alias("d1"), rounded(F.get("r", F.lit(127))).alias("d128"))
 
 
 @register("sentence_mean", sql(BASE, SENT, select=f"SELECT doc_id, {r6('v[1]')} AS d1, {r6('v[64]')} AS d64 FROM sent"))
@@ -219,9 +219,9 @@ def _(spark, d):
     "ls AS (SELECT qid, doc_id, round(sum(w), 6) AS score FROM ww JOIN (SELECT DISTINCT doc_id, token FROM wtok) USING (token) GROUP BY ALL)",
     "lr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ls)", select=TOP.format(t="lr")))
 def _(spark, d):
-    tok, q = weighted_words(spark, d)
-    asked = score.checked_broadcast(q.select("token").distinct())
-    s = tok.select("doc_id", "token").join(asked, "token", "left_semi").distinct().join(q, "token").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    docs = table(spark, d, "documents")
+    q = tx.tokenize(table(spark, d, "benchmark").withColumnRenamed("item_id", "qid"), "qid").select("qid", "token").distinct()
+    s = score.lexical(tx.tokenize(docs).select("doc_id", "token"), q, docs.count())
     return shown(score.top_k(s, 10))
 
 
@@ -560,16 +560,45 @@ def _(spark, d):
 def graph(spark, d):
     s = dense.sentence_vectors(tokens(spark, d))
     levels = dense.graph_levels(s)
-    return s, levels, dense.graph_edges(s, levels, kmeans.initial(s.select("doc_id", F.col("v").alias("e")), 2, key="doc_id"))
+    return s, levels, dense.graph_edges(s, levels)
+
+
+def asked(s: DataFrame) -> DataFrame:
+    return s.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
 
 
-@register("graph_layer_stats")
+#: Exact neighbours: a layer of up to dense.LIST_ROWS nodes is one list.
+GRAPH = """
+lev AS (SELECT doc_id, least(floor(-ln(greatest((('0x' || substr(md5('level#' || doc_id), 1, 8))::BIGINT / 4294967296.0), 1e-9)) / ln(4.0)), 8)::INT AS level FROM sent),
+nodes AS (SELECT l.layer::INT AS layer, doc_id, v FROM lev JOIN sent USING (doc_id), range(9) l(layer) WHERE level >= l.layer),
+near AS (SELECT a.layer, a.doc_id AS src, b.doc_id AS dst, round(list_dot_product(a.v, b.v), 9) AS sim FROM nodes a JOIN nodes b ON a.layer = b.layer AND a.doc_id <> b.doc_id),
+best AS (SELECT layer, src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY layer, src ORDER BY sim DESC, dst) AS r FROM near) WHERE r <= 4),
+edges AS (SELECT layer, src, dst, sim FROM best UNION SELECT layer, dst, src, sim FROM best)"""
+_hops = ["h9 AS (SELECT s.doc_id AS qid, s.v AS qv, (SELECT arg_min(doc_id, (-level, doc_id)) FROM lev) AS node FROM sent s WHERE s.doc_id % 100 = 0)"]
+for _l in range(8, -1, -1):
+    _hops.append(f"""h{_l} AS (SELECT qid, any_value(qv) AS qv, -max({{'s': sim, 'd': -cand}}).d AS node, max({{'s': sim, 'd': -cand}}).s AS sim FROM (
+  SELECT qid, qv, cand, round(list_dot_product(qv, s.v), 9) AS sim FROM (SELECT qid, qv, node AS cand FROM h{_l + 1} UNION ALL SELECT qid, qv, dst FROM h{_l + 1} JOIN edges ON src = node AND layer = {_l}) JOIN sent s ON s.doc_id = cand) GROUP BY qid)""")
+
+
+@register("graph_edges", sql(BASE, SENT, GRAPH, select=f"SELECT layer, src, dst, {r6('sim')} AS sim FROM edges"))
+def _(spark, d):
+    return graph(spark, d)[2].withColumn("sim", rounded(F.col("sim")))
+
+
+@register("graph_layer_stats", sql(BASE, SENT, GRAPH, select=f"SELECT layer, count(*) AS nodes, {r6('coalesce(any_value(n), 0) / count(*)')} AS avg_degree FROM nodes LEFT JOIN (SELECT layer, count(*) AS n FROM edges GROUP BY 1) USING (layer) GROUP BY layer"))
 def _(spark, d):
     _, levels, edges = graph(spark, d)
-    return dense.layer_stats(levels, edges)
+    s = dense.layer_stats(levels, edges)
+    return s.select("layer", "nodes", rounded(F.col("avg_degree")).alias("avg_degree"))
+
+
+@register("graph_greedy_hops", sql(BASE, SENT, GRAPH, *_hops, select=" UNION ALL ".join(f"SELECT qid, {i} AS layer, node AS doc_id, {r6('sim')} AS sim FROM h{i} WHERE {i} <= (SELECT max(level) FROM lev)" for i in range(9))))
+def _(spark, d):
+    s, levels, edges = graph(spark, d)
+    return dense.greedy_hops(s, levels, edges, asked(s)).withColumn("sim", rounded(F.col("sim")))
 
 
-@register("graph_greedy_hops")
+@register("graph_search", sql(BASE, SENT, select=TOP.format(t="sranked")))
 def _(spark, d):
     s, levels, edges = graph(spark, d)
-    return dense.greedy_hops(s, levels, edges, s.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("qv")))
+    return shown(dense.graph_search(s, levels, edges, asked(s), ef=200))

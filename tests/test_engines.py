@@ -116,7 +116,13 @@ def test_dense_search_and_graph(tok):
     c = kmeans.initial(s.select("doc_id", F.col("v").alias("e")), 4, key="doc_id")
     assert ranks(dense.ivf_search(s, qs, c, n_probe=4)) == ranks(dense.exact_search(s, qs))
     levels = dense.graph_levels(s)
-    edges = dense.graph_edges(s, levels, c)
+    edges = dense.graph_edges(s, levels)
+    assert ranks(dense.graph_search(s, levels, edges, qs, ef=20)) == ranks(dense.exact_search(s, qs))
+    many = dense.graph_edges(s, levels, list_rows=6, probes=2, block=3).where("layer = 0").select("src", "dst").collect()
+    seen = {0}
+    while more := {r["dst"] for r in many if r["src"] in seen} - seen:
+        seen |= more
+    assert len(seen) == 20  # several lists, and yet every node is reached
     assert {r["nodes"] for r in dense.layer_stats(levels, edges).where("layer = 0").collect()} == {20}
     assert dense.greedy_hops(s, levels, edges, qs).where("layer = 0").count() == 20
 
