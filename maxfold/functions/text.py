@@ -60,14 +60,17 @@ def resolve_tokens(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return df.join(v, "token_id", "left").withColumn("token", F.coalesce("_t", F.col("token_id").cast("string"))).drop("_t")
 
 
-def wordpiece(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, token, token_id) by WordPiece over a vocabulary file (one piece a line): normalised, greedy, no special tokens."""
+def wordpiece(docs: DataFrame, vocabulary: str | list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, token, token_id) by WordPiece over a vocabulary (a file of one piece a line, or the pieces): normalised, greedy, no special tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
-        with open(vocabulary, encoding="utf-8") as lines:
-            vocab = {line.rstrip("\n"): i for i, line in enumerate(lines)}
+        if isinstance(vocabulary, str):
+            with open(vocabulary, encoding="utf-8") as lines:
+                vocab = {line.rstrip("\n"): i for i, line in enumerate(lines)}
+        else:
+            vocab = {piece: i for i, piece in enumerate(vocabulary)}
         t = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]"))
         t.normalizer, t.pre_tokenizer = normalizers.BertNormalizer(), pre_tokenizers.BertPreTokenizer()
         for b in batches:

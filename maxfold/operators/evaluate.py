@@ -73,3 +73,21 @@ def random_subset(docs: DataFrame, seed: int, p: float) -> DataFrame:
 
 def log_speedup(frac: Column) -> Column:
     return F.log2(1.0 / F.greatest(F.least(frac, F.lit(1.0)), F.lit(0.001)))
+
+
+def recall_at_k(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(qid, recall): hits among the first k results of the first k truths (qid, rank, doc_id) over min(k, truths); NaN of none.
+
+    Queries of either side are kept, so a query with results and no truth is 0 of 0.
+    """
+    t = truth.where(F.col("rank") <= k).select("qid", "doc_id")
+    h = hits(results, t, k)
+    every = results.select("qid").unionByName(truth.select("qid")).distinct()
+    share = F.when(F.coalesce("n_truth", F.lit(0)) == 0, float("nan")).otherwise(F.col("hits") / F.least(F.col("n_truth"), F.lit(k)))
+    return every.join(h, "qid", "left").select("qid", share.alias("recall"))
+
+
+def rank_table(rows: DataFrame, by: str, key: str, first: int = 15) -> DataFrame:
+    """The ``first`` rows by falling ``by``, ties to the smaller key, with their rank: a report."""
+    top = rows.orderBy(F.desc(by), key).limit(first)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), key)))

@@ -17,3 +17,8 @@ def allowed(meta: DataFrame, wants: DataFrame, *, mode: str = "category_year") -
 def keep_allowed(results: DataFrame, permitted: DataFrame) -> DataFrame:
     """Results that the filter permits, by document and query."""
     return results.join(permitted, ["qid", "doc_id"], "left_semi")
+
+
+def union(permitted: DataFrame) -> DataFrame:
+    """Documents that the filter of some query lets through."""
+    return permitted.select("doc_id").distinct()

@@ -107,11 +107,11 @@ def batched_maxima(tok: DataFrame, q: DataFrame) -> DataFrame:
 
 def _block_maxima(tok: DataFrame, q: DataFrame) -> DataFrame:
     extra = ["w"] if "w" in q.columns else []
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in q.select("qid", "qpos").schema]
+    kinds = {"qid": q.schema["qid"].dataType, "qpos": q.schema["qpos"].dataType, "doc_id": tok.schema["doc_id"].dataType}
     rows = q.select("qid", "qpos", "qe").orderBy("qid", "qpos").collect()  # BROADCAST_BYTES about
-    schema = f"{kinds[0]}, {kinds[1]}, doc_id {tok.schema['doc_id'].dataType.simpleString()}, m double"
+    schema = "qid long, qpos long, doc_id long, m double"
     if not rows:
-        empty = tok.sparkSession.createDataFrame([], schema)
+        empty = tok.sparkSession.createDataFrame([], schema).select(*[F.col(c).cast(t) for c, t in kinds.items()], "m").select("qid", "qpos", "doc_id", "m")
         return empty.withColumn("w", F.lit(None).cast("double")).select("qid", "qpos", "w", "doc_id", "m") if extra else empty
     m = np.array([r["qe"] for r in rows], float).T
     ids, pos = (np.array([r[c] for r in rows]) for c in ("qid", "qpos"))
@@ -125,7 +125,7 @@ def _block_maxima(tok: DataFrame, q: DataFrame) -> DataFrame:
             best = np.maximum.reduceat((matrix(b.column(1)) @ m)[order], np.searchsorted(of[order], np.arange(len(docs))))
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(docs))), pa.array(np.tile(pos, len(docs))), pa.array(np.repeat(docs, len(ids))), pa.array(best.ravel())], names=["qid", "qpos", "doc_id", "m"])
 
-    out = tok.select("doc_id", "e").mapInArrow(run, schema)
+    out = tok.select(F.col("doc_id").cast("long"), "e").mapInArrow(run, schema).select(*[F.col(c).cast(t) for c, t in kinds.items()], "m")
     out = out.groupBy("qid", "qpos", "doc_id").agg(F.round(F.max("m"), DIGITS).alias("m"))
     return out.join(F.broadcast(q.select("qid", "qpos", "w")), ["qid", "qpos"]).select("qid", "qpos", "w", "doc_id", "m") if extra else out
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.labels import shared_corpus
 from .engine import Engine
 
 OPS = ("index", "query", "inspect", "trace")
@@ -23,12 +25,10 @@ def load(text: str) -> dict:
 
 
 def corpus(spark: SparkSession, definition: dict, shared: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text): 'shared' (given by the caller), 'inline' (docs listed) or 'file' (one text a line, or id TAB text)."""
+    """(doc_id, text): 'shared' (the demonstration corpus, unless the caller gives another), 'inline' (docs listed) or 'file' (one text a line, or id TAB text)."""
     kind = definition.get("type", "shared")
     if kind == "shared":
-        if shared is None:
-            raise ValueError("this scenario needs the shared corpus")
-        return shared
+        return shared_corpus(spark) if shared is None else shared
     if kind == "inline":
         docs = [(i, d) if isinstance(d, str) else (d["id"], d["text"]) for i, d in enumerate(definition["docs"])]
         return spark.createDataFrame(docs, "doc_id long, text string")
@@ -65,10 +65,16 @@ def run(spark: SparkSession, text: str, *, shared: DataFrame | None = None, dry_
     return out
 
 
-def command(engine: Engine, line: str, next_id: int = 0) -> DataFrame | str | None:
-    """One line of an interactive session: index TEXT, query TEXT, inspect TARGET, trace [STAGE], help, quit."""
+def command(engine: Engine, line: str, next_id: int | None = None) -> DataFrame | str | None:
+    """One line of an interactive session: index TEXT, query TEXT, inspect TARGET, trace [STAGE], help, quit.
+
+    An indexed text gets the id after the largest one, unless ``next_id`` is given.
+    """
     op, _, rest = line.strip().partition(" ")
     if op == "index":
+        if next_id is None:
+            most = engine.docs.agg(F.max("doc_id")).first()[0] if engine.docs is not None else None
+            next_id = 0 if most is None else most + 1
         engine.index(engine.spark.createDataFrame([(next_id, rest)], "doc_id long, text string"))
         return None
     if op == "query":

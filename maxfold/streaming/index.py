@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ def latest(rows: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Start appending a stream of writes (doc_id, seq, ...) to a Parquet table that latest() reads; exactly once per batch."""
+    """Start appending a stream of writes (doc_id, seq, ...) to a Parquet table that latest() reads; exactly once per batch.
+
+    A checkpoint has a folder of its own, so a new checkpoint over an old table adds to it.
+    """
+
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

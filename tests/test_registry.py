@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from maxfold import registry
+from maxfold import registry, sweep_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
