@@ -124,8 +124,9 @@ def nearest(
     different vectors under one vec_id, as query or candidate, the nearest pair counts. A query with fewer than k other
     ids gets them all. An empty table gives no rows; other columns are ignored.
 
-    A cell is compared in blocks of ROWS rows by QUERIES queries, so a cell that holds a third of all rows is many
-    tasks; of each block only k rows per query are shuffled. Cell sizes and visits (at most (sample / 40) ** 2 numbers)
+    Cells that follow each other are put on shelves of about ROWS rows, which are compared with QUERIES queries at a time; a
+    cell that holds a third of all rows is many such blocks. A query is sent to a shelf once, with the cells that it visits
+    there, and of each block only k rows per query are shuffled. Cell sizes and visits (at most (sample / 40) ** 2 numbers)
     are the only things collected.
     """
     schema = "query_id long, rank int, vec_id long, score double, compared long"
@@ -171,11 +172,20 @@ def nearest(
     visits = np.zeros_like(held)
     for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
         visits[r["cell"]] = r["count"]
-    grid = [(i, int(-(-h // ROWS)), int(max(1, -(-v // QUERIES)))) for i, (h, v) in enumerate(zip(held.tolist(), visits.tolist(), strict=True)) if h and v]
-    grid = F.broadcast(spark.createDataFrame(grid, "cell int, nr int, nq int"))  # at most (sample / 40) ** 2 rows
-    blocks = index.join(grid, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "v"), "nr").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "vec_id", "v")
+    grid, shelf, have = [], -1, ROWS  # cells in order on shelves of about ROWS rows; a larger cell has a shelf of nr blocks
+    for i in np.flatnonzero((held > 0) & (visits > 0)).tolist():
+        if have + held[i] > ROWS:
+            shelf, have = shelf + 1, 0
+        have += int(held[i])
+        grid.append((i, shelf, int(-(-held[i] // ROWS)), int(max(1, -(-visits[i] // QUERIES)))))
+    wide: dict[int, int] = {}
+    for _, s, _, q in grid:
+        wide[s] = max(q, wide.get(s, 1))
+    grid = F.broadcast(spark.createDataFrame([(c, s, r, wide[s]) for c, s, r, _ in grid], "cell int, shelf int, nr int, nq int"))  # at most (sample / 40) ** 2 rows
+    blocks = index.join(grid, "cell").select("shelf", F.pmod(F.xxhash64("vec_id", "v"), "nr").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), "vec_id", "v", "cell")
     asked = queries.select("query_id", F.col("q").alias("v"), F.explode("cells").alias("cell")).join(grid, "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.pmod(F.xxhash64("query_id", "v"), "nq").cast("int").alias("q"), "query_id", "v")
+    asked = asked.groupBy("query_id", "v", "shelf").agg(F.collect_list("cell").alias("cells"), F.max("nr").alias("nr"), F.max("nq").alias("nq"))
+    asked = asked.select("shelf", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.pmod(F.xxhash64("query_id", "v"), "nq").cast("int").alias("q"), "query_id", "v", "cells").toDF("to_shelf", "to_r", "to_q", "query_id", "v", "cells")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": [], "compared": []}
@@ -184,8 +194,9 @@ def nearest(
             width = max(map(len, qs))
             v, nv, nq = padded(vs, width), norms(vs), norms(qs)
             near = (padded(qs, width) / nq[:, None]) @ (v / nv[:, None]).T
-            for i, query in enumerate(y["query_id"].to_numpy()):
-                q, s = qs[i], np.where(ids == query, -np.inf, near[i])
+            names, place = np.unique(x["cell"].to_numpy(), return_inverse=True)
+            for i, (query, cells) in enumerate(zip(y["query_id"].to_numpy(), y["cells"], strict=True)):
+                q, s = qs[i], np.where((ids == query) | ~np.isin(names, cells)[place], -np.inf, near[i])
                 picked, wanted = np.flatnonzero(np.isfinite(s)), k
                 compared = len(picked)
                 while True:  # more rows, where ids of several vectors fill the first places
@@ -209,7 +220,7 @@ def nearest(
                 out["compared"] += [compared] + [0] * (max(1, len(best)) - 1)
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "compared": "int64"})
 
-    found = blocks.groupBy("cell", "r", "q").cogroup(asked.groupBy("cell", "r", "q")).applyInPandas(compare, "query_id long, vec_id long, score double, compared long")
+    found = blocks.groupBy("shelf", "r", "q").cogroup(asked.groupBy("to_shelf", "to_r", "to_q")).applyInPandas(compare, "query_id long, vec_id long, score double, compared long")
     found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("compared").alias("_c"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("compared", F.sum("_c").over(Window.partitionBy("query_id"))).where(F.col("score") > float("-inf"))
