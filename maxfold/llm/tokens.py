@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,19 @@ def _search(raw: np.ndarray, eod: int) -> tuple[int, int, int, np.ndarray]:
     return (len(at), int(at[0]), int(at[-1]), np.diff(at) - 1) if len(at) else (0, -1, -1, np.zeros(0, np.int64))
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """The scheme of a path's store."""
+    default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
+    return re.match(r"(?:([a-zA-Z][\w+.-]*):)?", path)[1] or default
+
+
+def _store(uri: str):
+    """(file system, path in it), for a worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else re.sub("^file:/*", "file:///", uri))
+
+
 SCAN = "file_id string, block long, n long, seps long, first long, last long, inner array<long>"
 
 
@@ -77,7 +91,6 @@ def scan_files(spark: SparkSession, path: str, *, eod: int = EOD, dtype: str = "
     width = np.dtype(dtype).itemsize
     step = max(width, step // width * width)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    scheme = re.match(r"(?:([a-zA-Z][\w+.-]*):)?", path)[1] or spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).getScheme()
 
     def rows(name: str, first_block: int, blocks) -> Iterator[tuple]:
         for i, raw in enumerate(blocks):
@@ -90,7 +103,7 @@ def scan_files(spark: SparkSession, path: str, *, eod: int = EOD, dtype: str = "
         kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["file_id", "block", "n", "seps", "first", "last", "inner"])
 
-    if scheme not in ranged:
+    if _scheme(spark, path) not in ranged:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -103,11 +116,9 @@ def scan_files(spark: SparkSession, path: str, *, eod: int = EOD, dtype: str = "
         return files.select("path", "content").where("length > 0").mapInArrow(whole, SCAN)
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
             for name, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, inside = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                store, inside = _store(name)
                 with store.open_input_file(inside) as f:
                     yield batch(list(rows(name, block, [f.read_at(step, block * step)])))
 
@@ -138,26 +149,56 @@ def count_tokens(scan: DataFrame) -> DataFrame:
     return done.unionByName(ends.where("n_tokens > 0").select("file_id", "ordinal", "n_tokens", F.lit(False).alias("complete")))
 
 
-def count_document_tokens(docs: DataFrame, *, vocabulary: str | None = None, eod: int = EOD) -> DataFrame:
+def encode_to_files(docs: DataFrame, folder: str, *, vocabulary: str | None = None, eod: int = EOD) -> DataFrame:
+    """Write texts to flat token files, one a task, by the workers themselves; (doc_id, file, ordinal) says which is where.
+
+    A task that runs again writes a file of another name, and only its last run's names are returned.
+    """
+    small_arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = _store(folder)
+        encoder, name, n, out = _encoder(vocabulary), f"part-{uuid.uuid4().hex}.bin", 0, None
+        end = np.array([eod], "<u2").tobytes()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                store.create_dir(inside, recursive=True)
+                out = store.open_output_stream(f"{inside}/{name}")
+            for t in batch.column(1).to_pylist():
+                out.write(np.array(encoder.encode_ordinary(t or ""), "<u2").tobytes() + end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows))], names=["doc_id", "file", "ordinal"])
+            n += batch.num_rows
+        if out is not None:
+            out.close()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, file string, ordinal long")
+
+
+def count_document_tokens(docs: DataFrame, *, vocabulary: str | None = None, eod: int = EOD, ranged: tuple[str, ...] = RANGED) -> DataFrame:
     """(doc_id, n_tokens) of every row, counted in flat token files that are written to the shared folder first.
 
-    The files hold nothing but ids and separators. Which document is which in a file is known by its place: the files
-    are written from a table of tokens, one per partition and in its order, and a second look at that table numbers its
-    rows. Both must agree in the number of documents of each file, else the query fails.
+    The files hold nothing but ids and separators; which document is which is known by its place in its file. Where Python
+    workers cannot open the shared folder's store, Spark writes the files from a table of tokens, one per partition and in
+    its order, and a second look at that table numbers its rows. A document that no file counts fails the query.
 
     A null or empty text counts 0; rows without an id and repeated rows each get their result; an empty table gives no
     rows; other columns are ignored. A text that holds ``eod`` as a token is not possible: plain text encodes to none.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenise(docs, vocabulary=vocabulary), "tokens")
     path = fresh_path(spark, "token-files")
-    write_token_files(tokens, path, eod=eod)
-    number = lambda c: F.shiftright(c, 33).cast("int")
-    rows = tokens.select("doc_id", F.monotonically_increasing_id().alias("_id"))
-    rows = materialize(rows.select("doc_id", number(F.col("_id")).alias("_file"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal")), "token-rows")
-    counts = materialize(count_tokens(scan_files(spark, path, eod=eod)), "token-counts")
-    counts = counts.withColumn("_file", F.regexp_extract("file_id", r"part-(\d+)-[^/]*$", 1).cast("int")).select("_file", "ordinal", "n_tokens", "complete")
-    both = rows.withColumn("_row", F.lit(True)).join(counts, ["_file", "ordinal"], "full")
-    same = F.col("_row") & F.col("complete")
-    wrong = F.raise_error(F.concat(F.lit("token file "), F.col("_file").cast("string"), F.lit(" and its table differ at document "), F.col("ordinal").cast("string")))
-    return both.select("doc_id", F.when(same, F.col("n_tokens")).otherwise(wrong.cast("long")).alias("n_tokens"))
+    if _scheme(spark, path) in ranged:
+        rows = materialize(encode_to_files(docs, path, vocabulary=vocabulary, eod=eod), "token-rows")
+        if not rows.take(1):
+            return rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+        file = F.substring_index("file_id", "/", -1)
+    else:
+        tokens = materialize(tokenise(docs, vocabulary=vocabulary), "tokens")
+        write_token_files(tokens, path, eod=eod)
+        at = tokens.select("doc_id", F.monotonically_increasing_id().alias("_id"))
+        rows = materialize(at.select("doc_id", F.shiftright("_id", 33).cast("string").alias("file"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal")), "token-rows")
+        file = F.regexp_extract("file_id", r"part-(\d+)-[^/]*$", 1).cast("int").cast("string")
+    counts = count_tokens(scan_files(spark, path, eod=eod, ranged=ranged)).where("complete").select(file.alias("file"), "ordinal", "n_tokens")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no count of document"), F.col("ordinal").cast("string"), F.lit("in token file"), F.col("file")))
+    return rows.join(counts, ["file", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", wrong.cast("long")).alias("n_tokens"))

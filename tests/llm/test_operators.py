@@ -393,11 +393,12 @@ def test_mix_of_equal_rows_shares_what_is_left(spark):
 def test_token_counts(spark):
     rows = corpus()
     docs = documents(spark, rows).repartition(3)
-    got = tokens.count_document_tokens(docs)
     encoder = tokens._encoder(None)
     want = Counter((d, len(encoder.encode_ordinary(t or ""))) for d, t in rows)
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
-    assert tokens.count_document_tokens(docs.limit(0)).count() == 0
+    for stores in (tokens.RANGED, ()):
+        got = tokens.count_document_tokens(docs, ranged=stores)
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
+        assert tokens.count_document_tokens(docs.limit(0), ranged=stores).count() == 0
 
 
 @pytest.mark.parametrize("fan", [1, 3, 1024])
