@@ -20,7 +20,7 @@ SAMPLE = 20_000
 #: A query's cells hold as many rows as give this recall for TUNING rows of the sample, and MIN_CANDIDATES at least.
 RECALL, MIN_CANDIDATES, TUNING = 0.96, 400, 300
 #: Rows of a cell, and queries that visit it, that one task compares at once.
-ROWS, QUERIES = 8192, 4096
+ROWS, QUERIES = 2048, 4096
 
 
 def kmeans(x: np.ndarray, k: int, *, iters: int = 15, seed: int = 7) -> np.ndarray:
