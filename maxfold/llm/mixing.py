@@ -66,7 +66,9 @@ def keyed(docs: DataFrame, quality: DataFrame | None = None, *, buckets: int = B
     if quality is None:
         d = d.withColumn("_w", F.lit(UNKNOWN))
     else:
-        known = d.where("doc_id is not null").join(quality.select("doc_id", F.col("w").alias("_w")), "doc_id", "left").select(*d.columns, "_w")
+        weights = quality.select("doc_id", F.col("w").alias("_w"))
+        weights = weights.hint("merge") if carry else weights  # labels grow with the documents: whole rows meet them alike at every size
+        known = d.where("doc_id is not null").join(weights, "doc_id", "left").select(*d.columns, "_w")
         d = known.unionByName(d.where("doc_id is null").withColumn("_w", F.lit(None).cast("double"))).withColumn("_w", F.coalesce("_w", F.lit(UNKNOWN)))
     # 1 - exp(-key) orders as the exponential key does and lies in [0, 1)
     at = F.least(F.floor((1.0 - F.exp(F.col("_log") / F.col("_w"))) * buckets), F.lit(buckets - 1)).cast("int")
