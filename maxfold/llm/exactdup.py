@@ -531,3 +531,21 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return found.mapInArrow(run, docs.schema)
+
+
+#: find_repeats() without samples or sorting: every window of LENGTH bytes of every text, grouped by its bytes.
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, b, row_number() OVER (ORDER BY doc_id NULLS FIRST, b) AS r FROM (SELECT DISTINCT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+w AS (SELECT r, i, b[i + 1:i + {LENGTH}] AS s FROM (SELECT r, b, unnest(range(greatest(octet_length(b) - {LENGTH - 1}, 0))) AS i FROM d)),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM w) WHERE k > 1),
+opened AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS o FROM later),
+runs AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT r, i, sum(o) OVER (PARTITION BY r ORDER BY i) AS g FROM opened) GROUP BY r, g),
+bounds AS (SELECT r, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS x, a AS y FROM runs
+  UNION ALL SELECT r, max(z), octet_length(any_value(b)) FROM runs JOIN d USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN x < y THEN hex(b[x + 1:y]) ELSE '' END, '' ORDER BY x, y) AS h FROM bounds JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+done AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r))
+SELECT done.doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM documents
+JOIN done ON documents.doc_id IS NOT DISTINCT FROM done.doc_id AND encode(coalesce(text, '')) = done.b
+"""

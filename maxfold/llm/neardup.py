@@ -327,3 +327,18 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, tile: in
         classes = classes.unionByName(connected_components(cut.unionByName(todo.where("cut").select(F.col("node").alias("a"), F.col("class").alias("b")))))
     rep_class = reps.select("fp", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("_class"))
     return signed.select("doc_id", "fp").join(rep_class, "fp", "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))
+
+
+#: near_duplicates() without signatures or bands: the exact multiset overlap of all texts that share a shingle.
+NEAR_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')),
+  '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+sh AS (SELECT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s, count(*) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE m::DOUBLE / (nx.n + ny.n - m)::DOUBLE >= {SIMILARITY}::DOUBLE),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT doc_id, y FROM reach JOIN link ON x = other)
+SELECT documents.doc_id, class_id FROM documents JOIN (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id) AS c ON c.doc_id = documents.doc_id
+"""

@@ -57,4 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op7_licenses": licenses.license_sql(), "op10_chat": chat.CHAT_SQL}
+    return {
+        "op3_suffix_dedup": exactdup.REPEATS_SQL,
+        "op5_mixing": mixing.MIX_SQL,
+        "op7_licenses": licenses.license_sql(),
+        "op9_near_duplicates": neardup.NEAR_SQL,
+        "op10_chat": chat.CHAT_SQL,
+    }
