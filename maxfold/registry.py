@@ -538,23 +538,51 @@ def _(spark, d):
 
 
 # learnt or iterative: rows only
-@register("kmeans_fit")
+#: Grouped k-means of vecs (g, id, e, k) from k vectors a group in seeded hash order, in as many steps as a fit may take:
+#: beyond a fixed point nothing moves. Equal centroids: {tie}.
+FIT = """
+start AS (SELECT g, (row_number() OVER (PARTITION BY g ORDER BY {u}, id) - 1)::INT AS cid, e AS ce FROM vecs QUALIFY cid < k),
+fitting AS (SELECT 0 AS step, g, cid, ce FROM start UNION ALL
+  SELECT step + 1, o.g, o.cid, coalesce({unit}, ce) FROM fitting o LEFT JOIN (SELECT g, cid, list(x ORDER BY i) AS m FROM (
+    SELECT g, abs(b.c) AS cid, i, avg(x) AS x FROM (SELECT g, b, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (
+      SELECT g, max({{'s': round(list_dot_product(e, ce), 9), 'c': {tie}}}) AS b, any_value(e) AS e FROM vecs JOIN fitting USING (g) GROUP BY g, id)) GROUP BY ALL) GROUP BY g, cid) AS means
+    ON means.g = o.g AND means.cid = o.cid
+  WHERE step < {steps}),
+fitted AS (SELECT g, cid, ce FROM fitting WHERE step = {steps})"""
+
+
+def fit_sql(*parts: str, select: str, seed: int = 42, steps: int = 100, tie: str = "cid") -> str:
+    return sql("RECURSIVE " + BASE.strip(), *parts, FIT.format(u=U.format(k=f"'{seed}#' || id"), unit=UNIT.format(v="m"), steps=steps, tie=tie), select=select)
+
+
+@register("kmeans_fit", fit_sql(f"vecs AS (SELECT 0 AS g, vec_id AS id, e, {plaid.CENTROIDS} AS k FROM tok)", select=f"SELECT cid, d, {r6('x')} AS x FROM (SELECT cid, unnest(ce) AS x, generate_subscripts(ce, 1)::INT AS d FROM fitted)"))
 def _(spark, d):
-    tok = tokens(spark, d)
-    return kmeans.fit(tok, plaid.CENTROIDS)
+    """(cid, d, x): the fitted centroids, a row per component."""
+    c = kmeans.fit(tokens(spark, d), plaid.CENTROIDS).select("cid", F.posexplode("ce").alias("d", "x"))
+    return c.select("cid", (F.col("d") + 1).alias("d"), rounded(F.col("x")).alias("x"))
 
 
-@register("tac_kmeans_grouped")
+@register("tac_kmeans_grouped", fit_sql(STATS, "vecs AS (SELECT token_id AS g, vec_id AS id, e, kappa AS k FROM tok JOIN recon USING (token_id))", seed=0xCAFEBABE, steps=50, tie="-cid", select=f"SELECT g::BIGINT AS token_id, cid, d, {r6('x')} AS x FROM (SELECT g, cid, unnest(ce) AS x, generate_subscripts(ce, 1)::INT AS d FROM fitted)"))
 def _(spark, d):
+    """(token_id, cid, d, x): every type's centroids, a row per component."""
     tok = tokens(spark, d)
-    return kmeans.cluster_types(tok, tac.budgets(tok))
+    c = kmeans.cluster_types(tok, tac.budgets(tok)).select("token_id", "cid", F.posexplode("ce").alias("d", "x"))
+    return c.select("token_id", "cid", (F.col("d") + 1).alias("d"), rounded(F.col("x")).alias("x"))
+
+
+IVF = f"""
+lists AS (SELECT id AS doc_id, max({{'s': round(list_dot_product(e, ce), 9), 'cid': cid}}).cid AS cid FROM vecs, fitted GROUP BY id),
+asked AS (SELECT doc_id AS qid, v AS qv, cid FROM sent, fitted WHERE doc_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(list_dot_product(v, ce), 9) DESC, cid) <= {IVF_PROBE}),
+ivf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(list_dot_product(qv, v), 9) AS score FROM asked JOIN lists USING (cid) JOIN sent USING (doc_id)))"""
+#: The lists' centroids are fitted before they are searched.
+IVF_SQL = fit_sql(SENT, "vecs AS (SELECT 0 AS g, doc_id AS id, v AS e, 8 AS k FROM sent)", select="SELECT").removesuffix("\nSELECT") + "," + IVF + "\n" + TOP.format(t="ivf")
 
 
-@register("ivf_search")
+@register("ivf_search", IVF_SQL)
 def _(spark, d):
     s = dense.sentence_vectors(tokens(spark, d))
     c = kmeans.fit(s.select("doc_id", F.col("v").alias("e")), 8, key="doc_id")
-    return shown(dense.ivf_search(s, s.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("qv")), c, n_probe=IVF_PROBE))
+    return shown(dense.ivf_search(s, asked(s), c, n_probe=IVF_PROBE))
 
 
 def graph(spark, d):

@@ -380,6 +380,6 @@ def _(spark, d):
 def _(spark, d):
     """Pieces are the words and letters of the benchmark: a vocabulary file that the query writes itself."""
     words = tx.tokenize(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).select("token").distinct()
-    vocabulary = [r["token"] for r in words.orderBy("token").limit(5000).collect()]
+    vocabulary = [r["token"] for r in words.orderBy("token").collect()]  # of the benchmark, not of the corpus
     letters = sorted({c for w in vocabulary for c in w})
     return tx.wordpiece(table(spark, d, "documents"), ["[UNK]", *vocabulary, *letters, *(f"##{c}" for c in letters)])
