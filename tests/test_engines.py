@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from maxfold.functions import text as tx
@@ -245,3 +246,20 @@ def test_stream_appends_and_latest_wins(spark, tmp_path):
     append_stream(stream, out, str(tmp_path / "cp")).awaitTermination(60)
     got = latest(spark.read.parquet(out))
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "new"), (2, "b")]
+
+
+def test_wordpiece_encodes_bounded_portions(spark, monkeypatch):
+    long = "alpha beta, gamma\n" * 40 + "x" * 300 + " beta" + "é" * 5
+    rows = [(1, long), (2, None), (3, ""), (4, "beta"), (None, "alpha beta"), (5, "\n" * 90 + "gamma")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = ["[UNK]", "alpha", "beta", "gamma", ",", "##e"]
+    sort = lambda df: sorted((r["doc_id"] or 0, r["pos"], r["token"], r["token_id"]) for r in df.collect())
+    whole, cut = sort(tx.wordpiece(docs, words)), sort(tx.wordpiece(docs, words, most=50))
+    assert whole == cut and [x[1] for x in whole if x[0] == 1] == list(range(167))
+    assert "".join(tx.portions(long, 50)) == long and len(list(tx.portions(long, 50))) > 10
+    odd = spark.createDataFrame([(1, "a\tb\u00a0c\x1cd\u0301 e\r\nÉ,f 漢字\x85g\u2028h  \u0301 i\x00j")], "doc_id long, text string")
+    t = tokenizers.Tokenizer(tokenizers.models.WordPiece(vocab := {w: i for i, w in enumerate(["[UNK]", *"abcdefghij漢,", *(f"##{c}" for c in "abcdefghij")])}, unk_token="[UNK]"))
+    t.normalizer, t.pre_tokenizer = tokenizers.normalizers.BertNormalizer(), tokenizers.pre_tokenizers.BertPreTokenizer()
+    assert [x[3] for x in sort(tx.wordpiece(odd, list(vocab), most=4))] == t.encode(odd.first()["text"], add_special_tokens=False).ids
+    monkeypatch.setattr(tx, "KNOWN", 3)  # words are forgotten and looked up again
+    assert sort(tx.wordpiece(docs, words, most=50)) == whole
