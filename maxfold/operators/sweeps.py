@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,25 +103,27 @@ def with_first(candidates: DataFrame, grid: DataFrame, first: int = 0) -> DataFr
     return candidates.unionByName(grid.join(candidates.select("param", "qid").distinct(), ["param", "qid"], "left_anti").select("param", "qid", F.lit(first).cast("long").alias("doc_id")))
 
 
-def points(candidates: DataFrame, values, scores: DataFrame, truth: DataFrame, queries: DataFrame, n_docs: int, *, k: int = 10, least: bool = False, first: int | None = 0, fixed: bool = True) -> DataFrame:
+def points(candidates: DataFrame, values, scores: DataFrame, truth: DataFrame, queries: DataFrame, n_docs: int | Fraction, *, k: int = 10, least: bool = False, first: int | None = 0, fixed: bool = True) -> DataFrame:
     """(param, frac, recall): means over ``queries`` of the share of documents scored, and of the truths among the k best of these.
 
-    ``fixed`` divides hits by k, else by min(k, truths). ``least``: the share of a query is one document at least.
-    ``first``: the document that a query without candidates falls back to, none if null.
+    ``n_docs``: documents a query may see, in the mean. ``fixed`` divides hits by k, else by min(k, truths). ``least``: the
+    share of a query is one document at least. ``first``: the document that a query without candidates falls back to, none
+    if null. Counts are summed before they are divided: equal shares are equal numbers, in whatever order queries come.
     """
-    spark = candidates.sparkSession
+    spark, n_docs = candidates.sparkSession, Fraction(n_docs) or Fraction(1)
     grid = spark.createDataFrame([(float(x),) for x in values], "param double").crossJoin(queries.select("qid"))
     n = candidates.groupBy("param", "qid").agg(F.count("*").alias("_n"))
-    share = F.coalesce("_n", F.lit(0)) / F.lit(float(max(1, n_docs)))
-    share = grid.join(n, ["param", "qid"], "left").select("param", "qid", (F.greatest(share, F.lit(1.0 / max(1, n_docs))) if least else share).alias("frac"))
+    share = grid.join(n, ["param", "qid"], "left").select("param", "qid", F.greatest(F.coalesce("_n", F.lit(0)), F.lit(int(least))).alias("_n"))
     scored = (candidates if first is None else with_first(candidates, grid, first)).join(scores.select("qid", "doc_id", "score"), ["qid", "doc_id"])
     w = Window.partitionBy("param", "qid").orderBy(F.desc("score"), "doc_id")
     best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     hits = best.join(truth.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("param", "qid").agg(F.count("*").alias("_h"))
     of = truth.select("qid", "doc_id").distinct().groupBy("qid").agg(F.least(F.count("*"), F.lit(k)).alias("_of"))
     d = share.join(hits, ["param", "qid"], "left").join(of, "qid", "left")
-    by = F.lit(float(k)) if fixed else F.col("_of")
-    return d.groupBy("param").agg(F.avg("frac").alias("frac"), F.avg(F.coalesce(F.coalesce("_h", F.lit(0)) / by, F.lit(0.0))).alias("recall"))
+    unit = float(lcm(*range(1, min(k, 22) + 1)))  # hits of a query are whole numbers of unit / min(k, truths)
+    hit = F.coalesce(F.col("_h") * unit / (F.lit(float(k)) if fixed else F.col("_of")), F.lit(0.0))
+    frac = F.sum("_n") * float(n_docs.denominator) / (F.count("*") * float(n_docs.numerator))
+    return d.groupBy("param").agg(frac.alias("frac"), (F.sum(hit) / (F.count("*") * unit)).alias("recall"))
 
 
 def drop_low(pts: DataFrame, over: float = 0.001) -> DataFrame:

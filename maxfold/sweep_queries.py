@@ -5,6 +5,8 @@ A document's topic is doc_id % 5; the first three tokens of a topic are its cent
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +168,7 @@ def _(spark, d):
     sets = candidate_sets(w)
     for mode in MODES:
         allowed = filters.allowed(meta, wants, mode=mode)
-        n = allowed.count() / max(1, nq)
+        n = Fraction(allowed.count(), max(1, nq))
         if not n:
             continue
         truth = score.top_k(allowed.join(exact, ["qid", "doc_id"]), 10)

@@ -3,6 +3,7 @@
 import json
 import random
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maxfold.functions import text as tx
 from maxfold.functions import vectors as v
-from maxfold.operators import dense, evaluate, kmeans, plaid, score, tac, warp
+from maxfold.operators import dense, evaluate, kmeans, plaid, score, sweeps, tac, warp
 from maxfold.plans import scenario
 from maxfold.plans.engine import ENGINES, Engine, compare
 from maxfold.sources import vectors as src
@@ -263,3 +264,14 @@ def test_wordpiece_encodes_bounded_portions(spark, monkeypatch):
     assert [x[3] for x in sort(tx.wordpiece(odd, list(vocab), most=4))] == t.encode(odd.first()["text"], add_special_tokens=False).ids
     monkeypatch.setattr(tx, "KNOWN", 3)  # words are forgotten and looked up again
     assert sort(tx.wordpiece(docs, words, most=50)) == whole
+
+
+def test_points_of_equal_shares_are_equal(spark):
+    docs = [(q, 128 + q % 2) for q in range(13)]
+    every = spark.createDataFrame([(float(p), q, d) for q, n in docs for d in range(n) for p in (2, 3)], "param double, qid long, doc_id long")
+    scores = every.where("param = 2").select("qid", "doc_id", (-F.col("doc_id")).cast("double").alias("score"))
+    queries, n = scores.select("qid").distinct(), Fraction(sum(n for _, n in docs), 13)
+    pts = sweeps.points(every, (2, 3), scores, scores.where("doc_id < 3 + qid % 5"), queries, n, first=None, fixed=False)
+    assert sorted(map(tuple, pts.collect())) == [(2, 1, 1), (3, 1, 1)] and [r["param"] for r in sweeps.sorted_points(pts).collect()] == [2]
+    one = sweeps.points(every.where("qid = 0 and doc_id = 0"), (2,), scores, scores, queries.where("qid = 0"), Fraction(1, 2), first=None, fixed=False)
+    assert one.first()["frac"] == 2  # half a document a query in the mean, and this one has seen one
