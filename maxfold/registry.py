@@ -16,6 +16,7 @@ from .functions import text as tx
 from .functions import vectors as v
 from .functions.vectors import rounded
 from .operators import dense, evaluate, filters, kmeans, plaid, score, tac, warp
+from .shared import stored
 from .streaming.index import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -586,7 +587,7 @@ def _(spark, d):
 
 
 def graph(spark, d):
-    s = dense.sentence_vectors(tokens(spark, d))
+    s = stored(dense.sentence_vectors(tokens(spark, d)), "vectors")
     levels = dense.graph_levels(s)
     return s, levels, dense.graph_edges(s, levels)
 
@@ -595,7 +596,7 @@ def asked(s: DataFrame) -> DataFrame:
     return s.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
 
 
-#: Exact neighbours: a layer of up to dense.LIST_ROWS nodes is one list.
+#: Exact neighbours: each layer is compared whole.
 GRAPH = """
 lev AS (SELECT doc_id, least(floor(-ln(greatest((('0x' || substr(md5('level#' || doc_id), 1, 8))::BIGINT / 4294967296.0), 1e-9)) / ln(4.0)), 8)::INT AS level FROM sent),
 nodes AS (SELECT l.layer::INT AS layer, doc_id, v FROM lev JOIN sent USING (doc_id), range(9) l(layer) WHERE level >= l.layer),

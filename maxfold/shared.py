@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="maxfold-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root}/maxfold-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under a new path and read back: computed once, and its plan ends there."""
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

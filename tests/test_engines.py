@@ -275,3 +275,24 @@ def test_points_of_equal_shares_are_equal(spark):
     assert sorted(map(tuple, pts.collect())) == [(2, 1, 1), (3, 1, 1)] and [r["param"] for r in sweeps.sorted_points(pts).collect()] == [2]
     one = sweeps.points(every.where("qid = 0 and doc_id = 0"), (2,), scores, scores, queries.where("qid = 0"), Fraction(1, 2), first=None, fixed=False)
     assert one.first()["frac"] == 2  # half a document a query in the mean, and this one has seen one
+
+
+def unit(rng, n, dim):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_graph_edges_are_exact_in_large_layers(spark):
+    x = unit(np.random.default_rng(5), 4500, 8)
+    x[4400:] = x[:100]  # copies: ties go to the smaller id
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, v array<double>")
+    levels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0).alias("level"))
+    got = {(r["layer"], r["src"], r["dst"]): r["sim"] for r in dense.graph_edges(docs, levels).collect()}
+    want = {}
+    for layer, ids in ((0, np.arange(4500)), (1, np.arange(0, 4500, 3)), (2, np.arange(0, 4500, 3))):
+        sims = np.round(x[ids] @ x[ids].T, 9)
+        np.fill_diagonal(sims, -2)
+        for i, near in zip(ids, ids[np.argsort(-sims, axis=1, kind="stable")[:, :4]], strict=True):
+            for j in near:
+                want[layer, i, j] = want[layer, j, i] = x[i] @ x[j]
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 2e-9 for e in want)
