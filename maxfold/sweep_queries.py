@@ -16,7 +16,7 @@ from .functions import vectors as v
 from .functions.vectors import rounded
 from .operators import dense, evaluate, filters, kmeans, score, sweeps, tac, warp
 from .registry import BASE, POSTINGS, SENT, SIMS, TDF, U, UNIT, metadata, r6, register, setup, sql, table, tokens
-from .shared import scratch
+from .shared import scratch, stored
 from .sources import files
 from .sources import vectors as src
 
@@ -163,20 +163,21 @@ fp AS (SELECT mode, engine, param, avg(CASE WHEN engine = 'warp' THEN greatest(c
 @register("filtered_points", filtered_sql())
 def _(spark, d):
     w = world(spark, d)
-    exact, nq, out = score.maxsim(w["maxima"]), w["qids"].count(), None
+    exact, nq, out = stored(score.maxsim(w["maxima"]), "scores"), w["qids"].count(), None
     meta, wants = metadata(w["tok"])
-    sets = candidate_sets(w)
+    sets = {e: (stored(c, "candidates"), xs) for e, (c, xs) in candidate_sets(w).items() if e in ("plaid", "warp", "tac")}
     for mode in MODES:
-        allowed = filters.allowed(meta, wants, mode=mode)
+        allowed = stored(filters.allowed(meta, wants, mode=mode), "allowed")
         n = Fraction(allowed.count(), max(1, nq))
         if not n:
             continue
-        truth = score.top_k(allowed.join(exact, ["qid", "doc_id"]), 10)
+        truth = stored(score.top_k(allowed.join(exact, ["qid", "doc_id"]), 10), "truth")
         for e in ("plaid", "warp", "tac"):
             c, xs = sets[e]
             pts = sweeps.points(c.join(allowed, ["qid", "doc_id"]).select("param", "qid", "doc_id"), xs, exact, truth, allowed.select("qid").distinct(), n, least=e == "warp", first=None, fixed=False)
             pts = sweeps.sorted_points(sweeps.drop_low(pts) if e == "warp" else pts)
             part = pts.select(F.lit(mode).alias("mode"), F.lit(e).alias("engine"), "param", rounded(F.col("frac")).alias("frac"), rounded(F.col("recall")).alias("recall"))
+            part = stored(part, "points")  # the plans of all curves in one took the driver's memory
             out = part if out is None else out.unionByName(part)
     return out
 
